@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, mixing, ngram_join, secret_scan
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_jaccard_join": (ngram_join.query, ngram_join.ORACLE),
+    "op4_benchmark_decontamination": (decontaminate.query, decontaminate.ORACLE),
+    "op8_secret_scan": (secret_scan.query, secret_scan.ORACLE),
+    "op9_mix_sources": (mixing.query, mixing.ORACLE),
 }
 
 
