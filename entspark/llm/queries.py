@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, license_scan, mixing, ngram_join, secret_scan
+from . import chat_format, decontaminate, language_id, license_scan, mixing, ngram_join, quality, secret_scan
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ngram_jaccard_join": (ngram_join.query, ngram_join.ORACLE),
@@ -16,6 +16,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op7_identify_language": (language_id.query, None),
     "op8_secret_scan": (secret_scan.query, secret_scan.ORACLE),
     "op9_mix_sources": (mixing.query, mixing.ORACLE),
+    "op10_quality_classifier": (quality.query, None),
 }
 
 
