@@ -47,7 +47,7 @@ from . import kernels as K
 
 N, THRESHOLD = 3, 0.5
 #: Entries that a block of documents holds before it is sent; documents of a block (16 bits name them).
-BLOCK_GRAMS, BLOCK_DOCS = 4_000_000, 65_000
+BLOCK_GRAMS, BLOCK_DOCS = 2_000_000, 65_000
 #: Parts of the hash space at least; with 32 bits in the part this makes fingerprints of 40 bits.
 LEAST_PARTS = 256
 #: Rows and columns of the blocks of pairs that a tile looks at together.
@@ -246,7 +246,7 @@ def _tiles(t: float):
 
     def solve(members: list[tuple]) -> Iterator[tuple]:
         if len(members) > 1:
-            members.sort(key=lambda m: (m[1], m[0]))
+            members = sorted({m[0]: m for m in members}.values(), key=lambda m: (m[1], m[0]))
             sizes = np.array([m[1] for m in members], np.int64)
             for i, j, overlap in tile_pairs(sizes, [m[2] for m in members], t):
                 a, b = sorted((members[i], members[j]), key=lambda m: m[0])
@@ -292,11 +292,11 @@ def survivors(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
 
 def set_pairs(alive: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """Pairs of different sets (sid_a < sid_b, overlap, union) at threshold t."""
-    sets = alive.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    one = alive.join(sets, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"])
-    keys = one.select("sid", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.collect_set("sid").alias("sids")).filter(F.size("sids") > 1)
+    keys = alive.select("sid", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.collect_set("sid").alias("sids")).filter(F.size("sids") > 1)
     tiles = keys.select(F.array_min("sids").alias("tile"), F.explode("sids").alias("sid")).distinct()
-    placed = tiles.join(one.select("sid", "size", "shared"), "sid").select("tile", "sid", "size", "shared")
+    # the grams of a set come from one of its documents, so they are sent twice at most, however many copies there are
+    at = tiles.groupBy("sid").agg(F.collect_list("tile").alias("tiles")).join(alive.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
+    placed = alive.join(at, ["sid", "doc_id"]).select(F.explode("tiles").alias("tile"), "sid", "size", "shared")
     return placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(t), "sid_a long, sid_b long, overlap long, union long").distinct()
 
 
