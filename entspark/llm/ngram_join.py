@@ -52,6 +52,8 @@ BLOCK_GRAMS, BLOCK_DOCS = 2_000_000, 65_000
 LEAST_PARTS = 256
 #: Rows and columns of the blocks of pairs that a tile looks at together.
 BAND_ROWS = 256
+#: Up to so many doc_ids to drop are broadcast (8 bytes each); more are joined by shuffling the documents.
+BROADCAST_IDS = 1_000_000
 
 _BLOCKS = "part int, block long, payload binary"
 _SURVIVORS = "doc_id long, sid long, size int, prefix array<long>, shared array<long>"
@@ -347,9 +349,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those whose group of near copies has a smaller doc_id; repeated rows of one doc_id leave one row."""
-    gone = groups(docs, n, threshold).filter("doc_id <> group_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without those whose group of near copies has a smaller doc_id.
+
+    Rows of one doc_id with equal texts leave one row; with different texts
+    they stay or go together.  Rows without a doc_id, or without words, stay.
+    """
+    gone = K.cut(groups(docs, n, threshold).filter("doc_id <> group_id").select("doc_id"))
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = K.cut(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     for r in rules:
         begin, end = _first_group(r.pattern)
         head, body, tail = r.pattern[:begin], r.pattern[begin:end], r.pattern[end:]
-        text = F.when(_anchored(r, text), F.regexp_replace(text, f"({head}){body}({tail})", f"$1[{r.name}]$3")).otherwise(text)
+        text = F.regexp_replace(text, f"({head}){body}({tail})", f"$1[{r.name}]$3")
     marked = flagged.select(F.col("blob").alias("_blob"), F.lit(True).alias("_flagged"))
     joined = docs.withColumn("_blob", F.sha2("text", 256)).join(F.broadcast(marked) if few else marked, "_blob", "left")
     out = {"text": F.when(F.col("_flagged"), text).otherwise(F.col("text"))}
