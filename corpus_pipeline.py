@@ -16,17 +16,17 @@ from entspark.llm import decontaminate, kernels, mixing, ngram_join, quality, se
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
-    return quality.keep_good(docs, kernels.table(spark, sf_dir, "labels"))
+    return quality.keep_good(kernels.small_batches(docs), kernels.table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near copies."""
-    return ngram_join.deduplicate(docs).select(*docs.columns)
+    return ngram_join.deduplicate(kernels.small_batches(docs)).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    return decontaminate.decontaminate(docs, kernels.table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(kernels.small_batches(docs), kernels.table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,8 +138,20 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Rows of a batch for Python: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, with Arrow batches of BATCH_ROWS rows in its session unless that has its own setting."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return frame
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def parallelism(spark: SparkSession) -> int:

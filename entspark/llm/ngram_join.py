@@ -47,7 +47,7 @@ from . import kernels as K
 
 N, THRESHOLD = 3, 0.5
 #: Entries that a block of documents holds before it is sent; documents of a block (16 bits name them).
-BLOCK_GRAMS, BLOCK_DOCS = 2_000_000, 65_000
+BLOCK_GRAMS, BLOCK_DOCS = 1_000_000, 65_000
 #: Parts of the hash space at least; with 32 bits in the part this makes fingerprints of 40 bits.
 LEAST_PARTS = 256
 #: Rows and columns of the blocks of pairs that a tile looks at together.
@@ -84,9 +84,9 @@ def _entries(n: int, bits: int):
             doc = np.repeat(np.arange(len(grams), dtype=np.uint16), sizes)
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             sids = K.mix(np.bitwise_xor.reduceat(every, at) + np.add.reduceat(K.mix(every), at) * np.uint64(31) + sizes.astype(np.uint64))
-            part = (every >> np.uint64(64 - bits)).astype(np.int64)
+            part = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(part, kind="stable")
-            part, doc, low = part[order], doc[order], (every[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            part, doc, low = part[order], doc[order], every.astype(np.uint32)[order]
             edges = np.searchsorted(part, np.arange((1 << bits) + 1))
             parts, payloads = [], []
             for p in range(1 << bits):
