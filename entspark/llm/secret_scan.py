@@ -31,7 +31,11 @@ from . import kernels as K
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is read alike by Java and RE2; its first group is the secret. A changed pattern needs a new version."""
+    """``pattern`` is RE2's; its first group is the secret. A changed pattern needs a new version.
+
+    A ``\\b`` at its beginning or end is one between ASCII characters; as Java's
+    isn't, ``java`` looks around instead.
+    """
 
     name: str
     version: int
@@ -42,9 +46,14 @@ class Rule:
     def id(self) -> str:
         return f"{self.name}@{self.version}"
 
+    @property
+    def java(self) -> str:
+        out = "(?<![0-9A-Za-z_])" + self.pattern[2:] if self.pattern.startswith(r"\b") else self.pattern
+        return out[:-2] + "(?![0-9A-Za-z_])" if out.endswith(r"\b") else out
+
 
 RULES = (
-    Rule("aws_access_key", 1, r"(?:^|[^0-9A-Za-z_])((?:AKIA|ASIA)[0-9A-Z]{16})(?:$|[^0-9A-Za-z_])", ("AKIA", "ASIA")),
+    Rule("aws_access_key", 1, r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("AKIA", "ASIA")),
     Rule("assigned_token", 1, r"""(?:token|TOKEN|api_key|API_KEY|apikey|secret|SECRET)[ \t]*[=:][ \t]*["']([0-9A-Za-z_\-]{20,})["']""", ("token", "TOKEN", "api_key", "API_KEY", "apikey", "secret", "SECRET")),
     Rule("assigned_password", 1, r"""(?:password|PASSWORD|Password|passwd)[ \t]*[=:][ \t]*["']?([0-9A-Za-z!#$%&*+\-./?@^_~]{8,})""", ("password", "PASSWORD", "Password", "passwd")),
     Rule("private_key", 1, r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
@@ -112,7 +121,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
 
 def _hits(rule: Rule) -> Column:
     """What the rule finds in a text, where it is among the rules to do."""
-    found = F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(1)), lambda s: F.struct(F.lit(rule.id).alias("rule"), F.sha2(s, 256).alias("secret_sha256")))
+    found = F.transform(F.regexp_extract_all("text", F.lit(rule.java), F.lit(1)), lambda s: F.struct(F.lit(rule.id).alias("rule"), F.sha2(s, 256).alias("secret_sha256")))
     none = F.array().cast("array<struct<rule:string,secret_sha256:string>>")
     return F.when(_anchored(rule, F.col("text")) & F.array_contains("todo", rule.id), found).otherwise(none)
 
@@ -123,8 +132,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     few = flagged.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
     text = F.col("text")
     for r in rules:
-        begin, end = _first_group(r.pattern)
-        head, body, tail = r.pattern[:begin], r.pattern[begin:end], r.pattern[end:]
+        begin, end = _first_group(r.java)
+        head, body, tail = r.java[:begin], r.java[begin:end], r.java[end:]
         text = F.regexp_replace(text, f"({head}){body}({tail})", f"$1[{r.name}]$3")
     marked = flagged.select(F.col("blob").alias("_blob"), F.lit(True).alias("_flagged"))
     joined = docs.withColumn("_blob", F.sha2("text", 256)).join(F.broadcast(marked) if few else marked, "_blob", "left")
