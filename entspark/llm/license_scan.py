@@ -166,11 +166,13 @@ def _automaton():
 def _tag(text: str) -> tuple[str, int]:
     m = _EXPRESSION.match(text)
     words = m.group(1)
-    # prose may follow on the line: the longest beginning that can be read counts
+    # prose may follow on the line: the longest beginning that can be read counts; an unknown identifier has a hyphen or digit
     tokens = list(_TOKEN.finditer(words))
     for k in range(min(len(tokens), 64), 0, -1):
         try:
-            return evaluate(parse(words[: tokens[k - 1].end()].strip()))
+            polish = parse(words[: tokens[k - 1].end()].strip())
+            if all(x in LICENSES or x in _STRENGTH or any(c in "-0123456789" for c in x) for x in polish):
+                return evaluate(polish)
         except ValueError:
             continue
     return UNREADABLE, len(CATEGORIES) - 1
