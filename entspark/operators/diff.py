@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import CHANGE_TYPES
+from ..session import cut
 from . import match as M
 from .orphans import orphan_changes
 from .reorder import reordered
@@ -14,10 +15,11 @@ from .suppress import suppress_parents
 
 def diff_entities(before: DataFrame, after: DataFrame, similarity: float | None = M.SIMILARITY, reorders: bool = True) -> DataFrame:
     """Changes between two snapshots of entities with a ``scope``."""
+    before, after = cut(before), cut(after)
     changes = M.match_entities(before, after, similarity)
     if reorders:
         changes = changes.unionByName(reordered(before, after))
-    return M.with_parent_names(suppress_parents(changes, before, after), before, after)
+    return M.with_parent_names(suppress_parents(cut(changes), before, after), before, after)
 
 
 def diff_files(files: DataFrame, registry=None) -> DataFrame:
@@ -27,8 +29,8 @@ def diff_files(files: DataFrame, registry=None) -> DataFrame:
     files = files.withColumn("before_content", F.when(F.col("status") != "added", F.col("before_content"))).withColumn("after_content", F.when(F.col("status") != "deleted", F.col("after_content")))
     hint = F.coalesce("after_content", "before_content")
     old_path = F.coalesce("old_file_path", "file_path")
-    before = extract_entities(files.filter("before_content IS NOT NULL").select(F.col("file_path").alias("scope"), old_path.alias("path"), F.col("file_path").alias("plugin_path"), hint.alias("hint"), F.col("before_content").alias("content")), registry)
-    after = extract_entities(files.filter("after_content IS NOT NULL").select(F.col("file_path").alias("scope"), F.col("file_path").alias("path"), F.col("file_path").alias("plugin_path"), hint.alias("hint"), F.col("after_content").alias("content")), registry)
+    before = cut(extract_entities(files.filter("before_content IS NOT NULL").select(F.col("file_path").alias("scope"), old_path.alias("path"), F.col("file_path").alias("plugin_path"), hint.alias("hint"), F.col("before_content").alias("content")), registry))
+    after = cut(extract_entities(files.filter("after_content IS NOT NULL").select(F.col("file_path").alias("scope"), F.col("file_path").alias("path"), F.col("file_path").alias("plugin_path"), hint.alias("hint"), F.col("after_content").alias("content")), registry))
     orphans = orphan_changes(files, before, after).withColumn("parent_name", F.lit(None).cast("string"))
     return diff_entities(before, after).unionByName(orphans, allowMissingColumns=True)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 SIMILARITY = 0.8
 SIZE_RATIO = 0.5
@@ -132,16 +133,16 @@ def one_sided(side: DataFrame, kind: str) -> DataFrame:
 
 def match_entities(before: DataFrame, after: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """The changes between two snapshots with a ``scope``; without the fuzzy phase if ``similarity`` is None."""
-    before, after = latest_occurrence(before), latest_occurrence(after)
+    before, after = cut(latest_occurrence(before)), cut(latest_occurrence(after))  # each phase reads them, and each would extract again
     same_id = match_by_id(before, after)
     modified = same_id.filter("b_content_hash <> a_content_hash")
     out = _changes(modified, F.lit("modified"), F.col("b_structural_hash") != F.col("a_structural_hash"))
-    left_b, left_a = residual(before, same_id, "b_id"), residual(after, same_id, "a_id")
+    left_b, left_a = cut(residual(before, same_id, "b_id")), cut(residual(after, same_id, "a_id"))
     phases = [lambda b, a: match_by_key(b, a, "content_hash", True), lambda b, a: match_by_key(b, a, "structural_hash", False)]
     if similarity is not None:
         phases.append(lambda b, a: match_by_similarity(b, a, similarity))
     for phase in phases:
-        pairs = phase(left_b, left_a)
+        pairs = cut(phase(left_b, left_a))
         classified = classify(pairs)
         out = out.unionByName(_changes(classified, F.col("change_type")))
         left_b, left_a = residual(left_b, pairs, "b_id"), residual(left_a, pairs, "a_id")
@@ -150,12 +151,13 @@ def match_entities(before: DataFrame, after: DataFrame, similarity: float | None
 
 def with_parent_names(changes: DataFrame, before: DataFrame, after: DataFrame, deepest: int = 16) -> DataFrame:
     """``changes`` with ``parent_name``: the names of all ancestors from the outermost on, joined by ``::``; the after snapshot's first, cycles cut."""
+    changes = cut(changes)
     both = after.select("scope", "id", "name", "parent_id", F.lit(0).alias("p")).unionByName(before.select("scope", "id", "name", "parent_id", F.lit(1).alias("p")))
-    known = both.groupBy("scope", "id").agg(F.min_by(F.struct("name", "parent_id"), "p").alias("e")).select("scope", "id", "e.name", "e.parent_id")
+    known = cut(both.groupBy("scope", "id").agg(F.min_by(F.struct("name", "parent_id"), "p").alias("e")).select("scope", "id", "e.name", "e.parent_id"))
     walk = changes.select("scope", F.col("id").alias("change_id"), F.col("parent_id").alias("at")).filter("at IS NOT NULL").withColumn("depth", F.lit(0)).withColumn("seen", F.array("at"))
     found = None
     for _ in range(deepest):
-        here = walk.join(known.select("scope", F.col("id").alias("at"), "name", "parent_id"), ["scope", "at"])
+        here = cut(walk.join(known.select("scope", F.col("id").alias("at"), "name", "parent_id"), ["scope", "at"]))
         step = here.select("scope", "change_id", "depth", "name")
         found = step if found is None else found.unionByName(step)
         walk = here.filter("parent_id IS NOT NULL AND NOT array_contains(seen, parent_id)").select("scope", "change_id", F.col("parent_id").alias("at"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", "parent_id").alias("seen"))

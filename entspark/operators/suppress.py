@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import CONTAINER_TYPES
+from ..session import cut
 
 
 def own_text(entities: DataFrame) -> DataFrame:
@@ -25,6 +26,7 @@ def suppress_parents(changes: DataFrame, before: DataFrame, after: DataFrame) ->
     Scopes with a single change stay as they are.
     """
     keys = ["scope", "entity_id"]
+    changes = cut(changes)
     many = changes.groupBy("scope").agg((F.count("*") > 1).alias("many"))
     ids = changes.select("scope", F.col("entity_id").alias("child")).distinct()
     children = before.select("scope", "parent_id", F.col("id").alias("child")).unionByName(after.select("scope", "parent_id", F.col("id").alias("child"))).filter("parent_id IS NOT NULL").distinct()
@@ -36,7 +38,7 @@ def suppress_parents(changes: DataFrame, before: DataFrame, after: DataFrame) ->
     quiet = containers.filter("change_type = 'modified'").join(ob, keys).join(oa, keys).filter("b_own = a_own AND b_type = a_type").select(*keys)
     left = changes.filter("change_type = 'moved' AND old_parent_id IS NOT NULL").select("scope", F.col("old_parent_id").alias("entity_id")).join(changes.select(*keys), keys, "left_semi")
     drop = whole.unionByName(quiet).unionByName(left).distinct().join(many.filter("many"), "scope", "left_semi")
-    kept = changes.join(drop, keys, "left_anti")
+    kept = cut(changes.join(drop, keys, "left_anti"))
     renamed = kept.filter("change_type = 'renamed' AND old_entity_name IS NOT NULL").select("scope", "entity_id", F.col("old_entity_name").alias("name"), "entity_type", "parent_id")
     b = before.select("scope", "name", "entity_type", F.col("parent_id").alias("b_parent"), "id", "ordinal")
     old = renamed.join(b, ["scope", "name", "entity_type"]).filter(F.col("parent_id").eqNullSafe(F.col("b_parent"))).groupBy("scope", "entity_id").agg(F.min_by("id", "ordinal").alias("old_parent_id"))

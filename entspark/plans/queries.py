@@ -20,6 +20,7 @@ from ..operators import search as SE
 from ..operators import store as ST
 from ..operators import suppress as SU
 from ..operators.chunks import chunk_text
+from ..session import cut
 from . import snapshots as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,4 +441,65 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.refresh(before, _name_edges(before), fresh, stale, resolve)[1]
 
 
-# --- entities of code -------------------------------------------------------
+# --- entities of code --------------------------------------------------------
+
+
+def _code(spark: SparkSession, after: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, entities, edges) of the small repository."""
+    from ..operators import scope as SC
+    from ..operators.extract import extract_files
+    from . import minirepo as R_
+
+    files = R_.files(spark, R_.AFTER if after else R_.BEFORE)
+    entities = cut(extract_files(files))
+    return files, entities, cut(SC.resolve(SC.python_facts(files), entities))
+
+
+@register("python_entities")
+def python_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code(spark)[1].select("id", "entity_type", "name", "start_line", "end_line")
+
+
+@register("scope_edges")
+def scope_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code(spark)[2]
+
+
+@register("code_graph")
+def code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import scope as SC
+
+    files, entities, resolved = _code(spark)
+    return G.build_graph(entities, SC.import_table(SC.python_facts(files), entities), resolved.drop("way"))
+
+
+@register("code_diff")
+def code_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minirepo as R_
+
+    return D.diff_files(R_.changes(spark)).select("change_type", "entity_type", "entity_name", "file_path", "old_entity_name", "structural_change")
+
+
+@register("arity_mismatches")
+def arity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import verify as V
+
+    _, entities, edges_ = _code(spark, True)
+    return V.arity_mismatches(edges_, entities)
+
+
+@register("broken_callers")
+def broken_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import verify as V
+
+    _, before, _ = _code(spark)
+    _, after, edges_ = _code(spark, True)
+    return V.broken_callers(before, after, edges_)
+
+
+@register("contract_violations")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import verify as V
+
+    _, entities, edges_ = _code(spark, True)
+    return V.contract_violations(edges_, entities)
