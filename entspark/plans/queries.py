@@ -503,3 +503,32 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, entities, edges_ = _code(spark, True)
     return V.contract_violations(edges_, entities)
+
+
+# --- windows of events (an extension) ---------------------------------------
+
+
+@register("windowed_hotspots", "SELECT epoch(time_bucket(INTERVAL 1 hour, ts))::BIGINT AS start, event_type, count(*) AS change_count FROM events GROUP BY 1, 2")
+def windowed_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import windowed_hotspots as by_window
+
+    found = by_window(_read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "1 hour")
+    return found.select(F.unix_timestamp("start").alias("start"), "event_type", "change_count")
+
+
+@register("sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 minute THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS change_count FROM s GROUP BY user_id, k
+""")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import sessions as by_session
+
+    found = by_session(_read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"])
+    return found.select("user_id", F.unix_timestamp("start").alias("start"), "change_count")
+
+
+@register("content_hashes", "SELECT doc_id, md5(text) AS md5, substr(md5(text), 1, 8) AS short, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS preview FROM documents")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", H.content_hash("text").alias("md5"), T.short_hash(H.content_hash("text"), 8).alias("short"), T.truncated("text", 40).alias("preview"))
