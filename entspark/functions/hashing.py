@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import strip_comments_and_strings
 
@@ -21,7 +22,7 @@ def content_hash(text: Column | str, algorithm: str = "md5") -> Column:
     raise ValueError(f"no hash {algorithm}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _xxh3(texts: pd.Series) -> pd.Series:
     import xxhash
 

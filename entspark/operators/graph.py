@@ -40,7 +40,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 0) -> DataFrame:
     Breadth first from all starts at once.  Each hop is written to the shared
     folder, so plans stay short and cycles end where nothing new is found.
     """
-    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct()
+    back = cut(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct())  # every hop reads it
     frontier = starts.select("start", F.col("start").alias("id")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     hop = 0
@@ -92,11 +92,16 @@ def context(edges: DataFrame, entities: DataFrame, targets: DataFrame, budget: i
     Texts aren't carried through the fold; they are joined to the ids it keeps.
     """
     starts = targets.select(F.col("target").alias("start"))
+    entities = cut(entities)
     sizes = entities.select("id", T.estimate_tokens("content").alias("full"), T.estimate_tokens(T.first_line("content")).alias("line"))
     all_ids = starts.select("start", F.col("start").alias("id")).withColumn("depth", F.lit(0)).unionByName(reach(edges, starts)).join(sizes, "id")
     role = F.least(F.col("depth"), F.lit(2))
-    item = F.struct(role.alias("role"), "depth", "id", F.when(role < 2, F.col("full")).otherwise(F.col("line")).alias("tokens"))
-    kept = all_ids.groupBy("start").agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.col("start").alias("target"), F.inline(_fold(F.col("items"), budget)))
+    sized = all_ids.select("start", role.alias("role"), "depth", "id", F.when(role < 2, F.col("full")).otherwise(F.col("line")).alias("tokens"))
+    # what is left of the budget never grows, so of the items of one size a first few are taken: no more than fit in all of it
+    place = F.row_number().over(W.partitionBy("start", "tokens").orderBy("role", "depth", "id"))
+    sized = sized.withColumn("place", place).filter(F.col("place") * F.col("tokens") <= budget)
+    item = F.struct("role", "depth", "id", "tokens")
+    kept = sized.groupBy("start").agg(F.sort_array(F.collect_list(item)).alias("items")).select(F.col("start").alias("target"), F.inline(_fold(F.col("items"), budget)))
     name = F.element_at(F.array(F.lit("target"), F.lit("direct_dependent"), F.lit("transitive_dependent")), F.col("role") + 1)
     text = F.when(F.col("role") < 2, F.col("content")).otherwise(T.first_line("content"))
     return kept.join(entities, "id").select("target", "id", name.alias("role"), F.col("tokens").alias("estimated_tokens"), text.alias("content"))

@@ -65,17 +65,21 @@ def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = SIMILA
     def sets(side: DataFrame) -> DataFrame:
         return side.select("scope", "entity_type", "id", "ordinal", T.token_set("content").alias("tokens")).withColumn("n", F.size("tokens"))
 
-    b, a = sets(before), sets(after)
+    b = cut(sets(before))
+    a = b if after is before else cut(sets(after))
     every = b.select(F.explode("tokens").alias("token")).unionAll(a.select(F.explode("tokens").alias("token")))
     df = every.groupBy("token").agg(F.count("*").alias("df"))
 
-    def prefixes(side: DataFrame, p: str) -> DataFrame:
+    def prefixes(side: DataFrame) -> DataFrame:
         ranked = side.select("scope", "entity_type", "id", "n", F.explode("tokens").alias("token")).join(df, "token")
         w = W.partitionBy("scope", "entity_type", "id").orderBy("df", "token")
         keep = F.row_number().over(w) <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-        return ranked.withColumn("keep", keep).filter("keep").select("scope", "entity_type", F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), "token")
+        return cut(ranked.withColumn("keep", keep).filter("keep AND df > 1").select("scope", "entity_type", "id", "n", "token"))
 
-    candidates = prefixes(b, "b_").join(prefixes(a, "a_"), ["scope", "entity_type", "token"])
+    pb = prefixes(b)
+    pa = pb if a is b else prefixes(a)
+    named = lambda side, p: side.select("scope", "entity_type", F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), "token")
+    candidates = named(pb, "b_").join(named(pa, "a_"), ["scope", "entity_type", "token"])
     candidates = candidates.filter(T.size_ratio_at_least("b_n", "a_n", threshold)).select("scope", "entity_type", "b_id", "a_id").distinct()
     bt = b.select("scope", F.col("id").alias("b_id"), F.col("tokens").alias("bt"), F.col("ordinal").alias("b_ordinal"))
     at = a.select("scope", F.col("id").alias("a_id"), F.col("tokens").alias("at"), F.col("ordinal").alias("a_ordinal"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import calls as C
 from ..model import CALLABLE_TYPES
 
-_PARAMS = "least int, most int, variadic boolean"
+_INT = IntegerType()
+_PARAMS = StructType([StructField("least", _INT), StructField("most", _INT), StructField("variadic", BooleanType())])
+_CALL = StructType([StructField("args", _INT), StructField("line", _INT)])
 
 
 @F.pandas_udf(_PARAMS)
@@ -20,18 +21,18 @@ def _params(text: pd.Series, extension: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"least": [p and p.least for p in own], "most": [p and p.most for p in own], "variadic": [p and p.variadic for p in own]}).astype({"least": "Int32", "most": "Int32", "variadic": "boolean"})
 
 
-@F.pandas_udf("args int, line int")
+@F.pandas_udf(_CALL)
 def _first_call(text: pd.Series, name: pd.Series, extension: pd.Series) -> pd.DataFrame:
     own = [C.first_call(t or "", n, e or "") for t, n, e in zip(text, name, extension)]
     return pd.DataFrame({"args": [c and c[0] for c in own], "line": [c and c[1] for c in own]}).astype("Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(_INT)
 def _param_count(text: pd.Series) -> pd.Series:
     return text.map(lambda t: C.param_count(t or ""))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(_INT)
 def _call_arguments(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([C.call_arguments(t or "", n) for t, n in zip(text, name)], dtype="Int32")
 

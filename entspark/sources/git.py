@@ -68,18 +68,20 @@ def resolve(repository: str, name: str) -> str:
 def parse_arguments(repository: str, args: list[str], staged: bool = False) -> tuple[Scope, list[str]]:
     """Scope and path filters of arguments as git reads them: ``a..b``, ``a...b``, ``a b``, ``a``, ``-- path``."""
     paths: list[str] = []
+    loose: list[str] = []
     if "--" in args:
         k = args.index("--")
         args, paths = args[:k], args[k + 1 :]
     names: list[str] = []
     for arg in args:
-        if ".." in arg and not paths and not names and (m := re.fullmatch(r"(.*?)(\.{2,3})(.*)", arg)):
+        if ".." in arg and not loose and not names and (m := re.fullmatch(r"(.*?)(\.{2,3})(.*)", arg)):
             a, b = m[1] or "HEAD", m[3] or "HEAD"
             names = [merge_base(repository, a, b) if m[2] == "..." else a, b]
-        elif not paths and len(names) < 2 and is_revision(repository, arg):
+        elif not loose and len(names) < 2 and is_revision(repository, arg):
             names.append(arg)
         else:
-            paths.append(arg)
+            loose.append(arg)
+    paths = loose + paths
     if staged:
         return Scope("staged"), paths
     if len(names) == 2:
