@@ -57,8 +57,9 @@ def windows(b: np.ndarray) -> np.ndarray:
 class LanguageFilter:
     def __init__(self, samples: dict[str, list[str]], places: int = PLACES):
         self.languages = sorted(samples)
-        if len(self.languages) > 64:
-            raise ValueError("a mask holds 64 languages")
+        # a mask holds 64 languages; more are in further filters
+        self.more = LanguageFilter({k: samples[k] for k in self.languages[64:]}, places) if len(self.languages) > 64 else None
+        self.languages = self.languages[:64]
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.languages) <= 8 * np.dtype(t).itemsize)
         self.shift = np.uint32(32 - (places.bit_length() - 1))
         self.masks = np.zeros(places, kind)
@@ -108,6 +109,8 @@ class LanguageFilter:
                     best = int(np.argmax(score))
                     out.append((self.languages[best] if score[best] >= LEAST_SCORE else "und", round(float(score[best]), 6), many))
                 at += len(d)
+        if self.more is not None:
+            out = [max(a, b, key=lambda x: (x[1], x is a)) for a, b in zip(out, self.more.decide(texts))]
         return out
 
 

@@ -163,17 +163,29 @@ def _automaton():
     return a
 
 
-def _tag(text: str) -> tuple[str, int]:
-    m = _EXPRESSION.match(text)
-    words = m.group(1)
-    # prose may follow on the line: the longest beginning that can be read counts; an unknown identifier has a hyphen or digit
-    tokens = list(_TOKEN.finditer(words))
-    for k in range(min(len(tokens), 64), 0, -1):
+def _tag(line: str) -> tuple[str, int]:
+    """The longest beginning of a tag's line that can be read; prose may follow it. An unknown identifier has a hyphen or a digit."""
+    words = _EXPRESSION.match(line).group(1)
+    ends: list[int] = []
+    depth, operand = 0, True
+    for m in _TOKEN.finditer(words):
+        low = m.group().lower()
+        if operand and low == "(":
+            depth += 1
+        elif operand and low not in _STRENGTH and low != ")" and (low in _BY_LOWER or any(c in "-0123456789" for c in low)):
+            operand = False
+        elif not operand and low == ")" and depth:
+            depth -= 1
+        elif not operand and low in _STRENGTH:
+            operand = True
+        else:
+            break
+        if not operand and not depth:
+            ends.append(m.end())
+    for end in reversed(ends):
         try:
-            polish = parse(words[: tokens[k - 1].end()].strip())
-            if all(x in LICENSES or x in _STRENGTH or any(c in "-0123456789" for c in x) for x in polish):
-                return evaluate(polish)
-        except ValueError:
+            return evaluate(parse(words[:end].strip()))
+        except ValueError:  # an exception after a parenthesis
             continue
     return UNREADABLE, len(CATEGORIES) - 1
 
@@ -193,7 +205,8 @@ def findings(text: str) -> dict[str, int]:
             found[name] = LICENSES[name]
     if tagged:  # the original lines say where an expression ends
         for m in re.finditer(r"(?i)(?<!\w)SPDX-License-Identifier:", text):
-            line = text[m.end() : m.end() + 4096].split("\n", 1)[0]
+            stop = text.find("\n", m.end())
+            line = text[m.end() : stop if stop >= 0 else len(text)]
             name, category = _tag(line)
             found[name] = category
     return found

@@ -63,3 +63,11 @@ def test_many_languages_and_ties():
     same = {f"l{k:02d}": ["abcd efgh abcd efgh"] for k in range(20)}
     f = G.LanguageFilter(same)
     assert f.masks.dtype == np.uint32 and f.decide(["abcd efgh"])[0][0] == "l00"
+
+
+def test_more_languages_than_a_mask_holds():
+    names = [f"l{k:03d}" for k in range(150)]
+    f = G.LanguageFilter({n: [f"{n[1]}{n[2]}{n[3]}".translate(str.maketrans("0123456789", "abcdefghij")) * 3 + " common words"] * 2 for n in names})
+    for k in (3, 70, 149):
+        word = f"l{k:03d}"[1:].translate(str.maketrans("0123456789", "abcdefghij")) * 3
+        assert f.decide([f"{word} {word}"])[0][0] == f"l{k:03d}"

@@ -46,6 +46,9 @@ def test_findings():
     assert L.findings("GNU Lesser General Public License, version 3") == {"LGPL-3.0-only": 2}
     assert L.findings("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode") == {"MIT OR Apache-2.0": 1}
     assert L.findings("SPDX-License-Identifier: MIT and then prose follows") == {"MIT": 1}
+    assert L.findings("SPDX-License-Identifier: (MIT OR ISC) WITH x-1 */") == {"MIT OR ISC": 1}
+    many = " OR ".join(["MIT"] * 5_000)
+    assert L.findings(f"SPDX-License-Identifier: {many}") == {many: 1}
     assert L.findings("SPDX-License-Identifier: ???") == {L.UNREADABLE: 5}
     assert L.findings("SPDX-License-Identifier:") == {L.UNREADABLE: 5}
 
