@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir  # noqa: F401
+
 WORD = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
 
 _U = np.uint64
@@ -117,25 +119,14 @@ def strings(column) -> list[str | None]:
     return column.to_pylist()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Make sure that checkpoints go to the folder that the cluster names; sets one only where none is named."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="entspark-")
-        context.setCheckpointDir(folder)
-    return folder or context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the shared folder; what reads it later survives the loss of executors."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+def spare(frame: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that ``frame`` has as columns."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 #: Rows of a batch for Python: texts are long, and a batch is held several times over.

@@ -71,24 +71,24 @@ def _cdf(rate):
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in a global pseudo-random order."""
+    key, draws, cdf, ident, point, count = K.spare(docs, "_key", "_draws", "_cdf", "_identity", "_point", "_count")
     table = rates(docs, weights, temperature, budget).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int"))
-    table = K.cut(table.select(F.col("source_key").alias("_key"), F.col("draws").alias("_draws"), _cdf(F.col("rate") / F.col("draws")).alias("_cdf")))
+    table = K.cut(table.select(F.col("source_key").alias(key), F.col("draws").alias(draws), _cdf(F.col("rate") / F.col("draws")).alias(cdf)))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     identity = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= K.unit_hash(F.lit(seed), F.col("_identity"), j.cast("string")))))
+    several = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda n, j: n + F.size(F.filter(cdf, lambda c: c <= K.unit_hash(F.lit(seed), F.col(ident), j.cast("string")))))
     # most rows are drawn once: their point is hashed once, outside the lambdas
-    point = K.unit_hash(F.lit(seed), F.col("_identity"), F.lit("1"))
-    count = F.when(F.col("_draws") == 1, F.size(F.filter("_cdf", lambda c: c <= F.col("_point")))).otherwise(drawn)
+    number = F.when(F.col(draws) == 1, F.size(F.filter(cdf, lambda c: c <= F.col(point)))).otherwise(several)
     copies = (
-        docs.withColumn("_key", _key())
-        .join(F.broadcast(table) if few else table, "_key")
-        .withColumn("_identity", identity)
-        .withColumn("_point", point)
-        .withColumn("_count", count)
-        .filter("_count > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "_identity", F.col("copy").cast("string"))))
-        .drop("_key", "_draws", "_cdf", "_identity", "_point", "_count")
+        docs.withColumn(key, _key())
+        .join(F.broadcast(table) if few else table, key)
+        .withColumn(ident, identity)
+        .withColumn(point, K.unit_hash(F.lit(seed), F.col(ident), F.lit("1")))
+        .withColumn(count, number)
+        .filter(F.col(count) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
+        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))))
+        .drop(key, draws, cdf, ident, point, count)
     )
     return copies.repartition(K.parallelism(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 

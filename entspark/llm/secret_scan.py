@@ -130,16 +130,17 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """``docs`` with every secret replaced by ``[rule]``; ``n_chars`` follows where it is a column."""
     flagged = K.cut(scan(docs, ledger, rules).select("blob").distinct())
     few = flagged.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+    blob, mark = K.spare(docs, "_blob", "_flagged")
     text = F.col("text")
     for r in rules:
         begin, end = _first_group(r.java)
         head, body, tail = r.java[:begin], r.java[begin:end], r.java[end:]
         text = F.regexp_replace(text, f"({head}){body}({tail})", f"$1[{r.name}]$3")
-    marked = flagged.select(F.col("blob").alias("_blob"), F.lit(True).alias("_flagged"))
-    joined = docs.withColumn("_blob", F.sha2("text", 256)).join(F.broadcast(marked) if few else marked, "_blob", "left")
-    out = {"text": F.when(F.col("_flagged"), text).otherwise(F.col("text"))}
+    marked = flagged.select(F.col("blob").alias(blob), F.lit(True).alias(mark))
+    joined = docs.withColumn(blob, F.sha2("text", 256)).join(F.broadcast(marked) if few else marked, blob, "left")
+    out = {"text": F.when(F.col(mark), text).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_flagged"), F.length(text).cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col(mark), F.length(text).cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns(out).select(*docs.columns)
 
 

@@ -32,7 +32,7 @@ def clashing(docs):
     """The same with further columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = "sid size prefix part block payload rule blob at todo copy shuffle_key _key _count identity score keep quality label start tile group_id u root item_id first_word".split()
+    names = "sid size prefix part block payload rule blob at todo copy shuffle_key _key _count _draws _cdf _identity _point _blob _flagged _quality _pool identity score keep quality label start tile group_id u root item_id first_word".split()
     return docs.withColumns({n: F.lit(f"mine-{n}") for n in names})
 
 

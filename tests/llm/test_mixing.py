@@ -63,7 +63,7 @@ def test_global_order_mixes_sources(spark):
 
 def test_columns_stay_and_clashing_ones_give_way(clashing, docs):
     out = X.mix(clashing)
-    assert set(out.columns) >= set(docs.columns) and out.filter(F.col("copy").cast("string").startswith("mine")).count() == 0
+    assert set(out.columns) == set(clashing.columns) and {r._key for r in out.collect()} == {"mine-_key"} and out.filter(F.col("copy").cast("string").startswith("mine")).count() == 0
     assert got(out) == got(X.mix(docs))
 
 
