@@ -91,7 +91,7 @@ def strip_comments_and_strings(text: ColumnOrName) -> Column:
 
 def dot_chains(text: ColumnOrName) -> Column:
     """Distinct ``receiver.member`` texts in order of first sight."""
-    return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"\b([A-Za-z_]\w*\.[A-Za-z_]\w*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"\b(?!\d)\w+\.(?!\d)\w+"), F.lit(0)))
 
 
 def identifier_words(text: ColumnOrName) -> Column:

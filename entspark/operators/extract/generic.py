@@ -33,16 +33,16 @@ _JVM = (("class", rf"^\s*{_MOD}(?:class|record)\s+{_ID}"), ("interface", rf"^\s*
 _C = (("struct", rf"^\s*(?:typedef\s+)?(?:struct|union)\s+{_ID}\s*\{{"), ("enum", rf"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?{_ID}"), ("function", rf"^(?!\s*(?:if|for|while|switch|return|else)\b)[\w:<>,*&~\s]+?[\s*&]((?:\w+::)*~?\w+)\s*\([^;]*\)\s*(?:const|noexcept|override|\s)*\{{"))
 
 LANGUAGES = (
-    Language("typescript", (".ts", ".mts", ".cts"), _TS), Language("tsx", (".tsx",), _TS), Language("javascript", (".js", ".jsx", ".mjs", ".cjs"), _JS),
+    Language("typescript", (".ts", ".mts", ".cts"), _TS), Language("tsx", (".tsx",), _TS), Language("javascript", tuple(".cjs .mjs .jsx .js".split()), _JS),
     Language("python", (".py", ".pyi"), (("class", rf"^\s*class\s+{_ID}"), ("function", rf"^\s*(?:async\s+)?def\s+{_ID}")), "indent", comment="#"),
     Language("go", (".go",), (("method", rf"^func\s+\([^)]*\)\s*{_ID}"), ("function", rf"^func\s+{_ID}"), ("struct", rf"^type\s+{_ID}\s+struct"), ("interface", rf"^type\s+{_ID}\s+interface"), ("type", rf"^type\s+{_ID}"), ("variable", rf"^(?:var|const)\s+{_ID}"))),
     Language("rust", (".rs",), (("function", rf"^\s*{_MOD}fn\s+{_ID}"), ("struct", rf"^\s*{_MOD}struct\s+{_ID}"), ("enum", rf"^\s*{_MOD}enum\s+{_ID}"), ("impl", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+((?:[\w:<>, ]+ for )?[\w:]+)"), ("trait", rf"^\s*{_MOD}trait\s+{_ID}"), ("module", rf"^\s*{_MOD}mod\s+{_ID}"), ("type", rf"^\s*{_MOD}type\s+{_ID}"), ("constant", rf"^\s*{_MOD}(?:static|const)\s+(?:mut\s+)?{_ID}\s*:"), ("macro", rf"^\s*macro_rules!\s*{_ID}"))),
     Language("java", (".java",), _JVM), Language("c", (".c", ".h"), _C),
-    Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh"), (("class", rf"^\s*(?:template\s*<[^>]*>\s*)?class\s+{_ID}[^;]*$"), ("namespace", rf"^\s*namespace\s+{_ID}"), *_C)),
+    Language("cpp", tuple(".hh .hpp .cxx .cc .cpp".split()), (("class", rf"^\s*(?:template\s*<[^>]*>\s*)?class\s+{_ID}[^;]*$"), ("namespace", rf"^\s*namespace\s+{_ID}"), *_C)),
     Language("ruby", (".rb", ".rake"), (("class", r"^\s*class\s+([A-Z][\w:]*)"), ("module", r"^\s*module\s+([A-Z][\w:]*)"), ("method", r"^\s*def\s+(?:self\.)?([\w?!=]+)")), "end", comment="#"),
     Language("csharp", (".cs",), (("namespace", r"^\s*namespace\s+([\w.]+)"), ("struct", rf"^\s*{_MOD}struct\s+{_ID}"), *_JVM)),
     Language("php", (".php",), (("class", rf"^\s*{_MOD}class\s+{_ID}"), ("interface", rf"^\s*interface\s+{_ID}"), ("trait", rf"^\s*trait\s+{_ID}"), ("function", rf"^\s*{_MOD}function\s+&?{_ID}"))),
-    Language("fortran", (".f90", ".f95", ".f03", ".f"), (("module", rf"^\s*module\s+(?!procedure){_ID}"), ("program", rf"^\s*program\s+{_ID}"), ("subroutine", rf"^\s*(?:\w+\s+)*?subroutine\s+{_ID}"), ("function", rf"^\s*(?!end)(?:[\w()*=]+\s+)*?function\s+{_ID}"), ("type", rf"^\s*type\s*(?:,[^:]*)?(?:::)?\s*{_ID}\s*$")), "end", comment="!"),
+    Language("fortran", tuple(".f .f03 .f95 .f90".split()), (("module", rf"^\s*module\s+(?!procedure){_ID}"), ("program", rf"^\s*program\s+{_ID}"), ("subroutine", rf"^\s*(?:\w+\s+)*?subroutine\s+{_ID}"), ("function", rf"^\s*(?!end)(?:[\w()*=]+\s+)*?function\s+{_ID}"), ("type", rf"^\s*type\s*(?:,[^:]*)?(?:::)?\s*{_ID}\s*$")), "end", comment="!"),
     Language("swift", (".swift",), (("class", rf"^\s*{_MOD}(?:class|actor)\s+{_ID}"), ("struct", rf"^\s*{_MOD}struct\s+{_ID}"), ("enum", rf"^\s*{_MOD}enum\s+{_ID}"), ("protocol", rf"^\s*{_MOD}protocol\s+{_ID}"), ("extension", rf"^\s*{_MOD}extension\s+{_ID}"), ("function", rf"^\s*{_MOD}func\s+{_ID}"), ("method", r"^\s*(?:\w+\s+)*(init|deinit)\b[^;]*\{"))),
     Language("elixir", (".ex", ".exs"), (("module", r"^\s*defmodule\s+([\w.]+)"), ("protocol", r"^\s*defprotocol\s+([\w.]+)"), ("impl", r"^\s*defimpl\s+([\w.]+)"), ("macro", r"^\s*defmacrop?\s+(\w+[?!]?)"), ("guard", r"^\s*defguardp?\s+(\w+[?!]?)"), ("struct", r"^\s*def(struct)\b"), ("exception", r"^\s*def(exception)\b"), ("function", r"^\s*defp?\s+(\w+[?!]?)")), "end", comment="#"),
     Language("bash", (".sh", ".bash", ".zsh"), (("function", r"^\s*(?:function\s+)?([\w-]+)\s*\(\)\s*\{?"), ("function", r"^\s*function\s+([\w-]+)")), comment="#"),

@@ -52,7 +52,7 @@ def csv_rows(text: str, path: str) -> list[Entity]:
     return out
 
 
-_HEADING = re.compile(r"(#{1,6})\s+(.+)")
+_HEADING = re.compile(r"(?P<marks>[#]{1,6})\s+(?P<title>.+)")
 
 
 def markdown(text: str, path: str) -> list[Entity]:
@@ -61,7 +61,7 @@ def markdown(text: str, path: str) -> list[Entity]:
     for k, line in enumerate(lines_of(text), 1):
         m = _HEADING.match(line)
         if m:
-            level, name = len(m[1]), m[2].strip()
+            level, name = len(m["marks"]), m["title"].strip()
             open_headings = [h for h in open_headings if h[0] < level]
             above = open_headings[-1][1] if open_headings else None
             out.append((level, name, k, [line], None if above is None else f"{path}::heading::{above}"))
