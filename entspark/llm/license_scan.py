@@ -43,7 +43,7 @@ _BY_LOWER = {k.lower(): k for k in LICENSES} | {"gpl-2.0": "GPL-2.0-only", "gpl-
 #: Lower-case notice phrase -> identifier.
 PHRASES = {
     "mit license": "MIT",
-    "permission is hereby granted, free of charge, to any person obtaining a copy of this software": "MIT",
+    "permission is hereby granted, free of charge, to any person": "MIT",
     "apache license, version 2.0": "Apache-2.0",
     "apache license 2.0": "Apache-2.0",
     "gnu general public license, version 3": "GPL-3.0-only",
