@@ -14,7 +14,8 @@ Defined results: a null text has no blob and no findings; an empty one is a
 blob without findings.  Rows that repeat give their findings once for each
 distinct (doc_id, blob); a null doc_id keeps its findings, under null.  An
 empty table gives no findings.  Other columns of ``docs`` are ignored by
-``scan`` and kept by ``redact``.
+``scan`` and kept by ``redact``.  A private key reaches from its BEGIN line to
+the next END line of a private key, or to the text's end where none follows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ class Rule:
 
 
 RULES = (
+    Rule("private_key", 2, r"(-----BEGIN [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[\s\S]*))", ("PRIVATE KEY",)),  # first: no other rule may cut its frame in redact()
     Rule("aws_access_key", 1, r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("AKIA", "ASIA")),
     Rule("assigned_token", 1, r"""(?:token|TOKEN|api_key|API_KEY|apikey|secret|SECRET)[ \t]*[=:][ \t]*["']([0-9A-Za-z_\-]{20,})["']""", ("token", "TOKEN", "api_key", "API_KEY", "apikey", "secret", "SECRET")),
     Rule("assigned_password", 1, r"""(?:password|PASSWORD|Password|passwd)[ \t]*[=:][ \t]*["']?([0-9A-Za-z!#$%&*+\-./?@^_~]{8,})""", ("password", "PASSWORD", "Password", "passwd")),
-    Rule("private_key", 1, r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
     Rule("code_host_token", 1, r"(gh[pousr]_[0-9A-Za-z]{36})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, r"(xox[abprs]-[0-9A-Za-z\-]{10,})", ("xox",)),
     Rule("maps_key", 1, r"(AIza[0-9A-Za-z_\-]{35})", ("AIza",)),

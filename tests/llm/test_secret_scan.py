@@ -69,5 +69,34 @@ def test_redaction(leaky, clashing):
     assert rows(S.redact(clashing)) == rows(clashing) and S.redact(clashing).columns == clashing.columns
 
 
+def pem(kind, seed, end=True):
+    body = "\n".join(hashlib.sha512(f"{seed}-{k}".encode()).hexdigest()[:64] for k in range(25))
+    return f"-----BEGIN {kind}-----\n{body}" + (f"\n-----END {kind}-----" if end else ""), body.split("\n")
+
+
+def same_as_sql(frame):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.text) for r in frame.collect()])
+    return rows(S.scan(frame)) == sorted(db.sql(f"SELECT doc_id, blob, rule, secret_sha256 FROM ({S.ORACLE})").fetchall(), key=repr)
+
+
+def test_private_keys_go_whole(spark):
+    keys = [pem("RSA PRIVATE KEY", 0), pem("RSA PRIVATE KEY", 1), pem("PRIVATE KEY", 2), pem("PGP PRIVATE KEY BLOCK", 3), pem("EC PRIVATE KEY", 4, end=False)]
+    k = [key for key, _ in keys]
+    headed = k[0].replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n", 1)
+    texts = [f"a {k[0]}\nb {k[1]}\nc", k[2].replace("\n", "\\n") + '", "x": 1', k[3] + "\r\n", f"d {k[4]}\n\n", f"e {headed} f", f"password={k[2]} g", "-----BEGIN PRIVATE KEY-----" + "- x\n" * 100_000]
+    frame = spark.createDataFrame([(n, t, "en", "s0", None) for n, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text for r in S.redact(frame).collect()}
+    assert not any(line in text for text in out.values() for _, body in keys for line in body)
+    mark = "[private_key]"
+    assert out == {0: f"a {mark}\nb {mark}\nc", 1: f'{mark}", "x": 1', 2: f"{mark}\r\n", 3: f"d {mark}", 4: f"e {mark} f", 5: f"password={mark} g", 6: mark}
+    found = [r for r in rows(S.scan(frame)) if r[2] == "private_key@2"]
+    assert [r[0] for r in found] == [0, 0, 1, 2, 3, 4, 5, 6] and len({r[3] for r in found}) == 8
+    assert same_as_sql(frame)
+
+
 def test_empty(no_docs, docs):
     assert rows(S.scan(no_docs)) == [] and rows(S.redact(no_docs)) == [] and rows(S.scan(docs)) == []
