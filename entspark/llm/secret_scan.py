@@ -16,6 +16,7 @@ distinct (doc_id, blob); a null doc_id keeps its findings, under null.  An
 empty table gives no findings.  Other columns of ``docs`` are ignored by
 ``scan`` and kept by ``redact``.  A private key reaches from its BEGIN line to
 the next END line of a private key, or to the text's end where none follows.
+An assigned token counts only in quotes, an assigned password also without.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ class Rule:
     """``pattern`` is RE2's; its first group is the secret. A changed pattern needs a new version.
 
     A ``\\b`` at its beginning or end is one between ASCII characters; as Java's
-    isn't, ``java`` looks around instead.
+    isn't, ``java`` looks around instead.  Where ``any_case``, the anchors are in
+    lower case and those of the lower-case text.
     """
 
     name: str
     version: int
     pattern: str
     anchors: tuple[str, ...]
+    any_case: bool = False
 
     @property
     def id(self) -> str:
@@ -53,11 +56,24 @@ class Rule:
         return out[:-2] + "(?![0-9A-Za-z_])" if out.endswith(r"\b") else out
 
 
+def _assigned(names: tuple[str, ...], value: str) -> str:
+    """The pattern of a value given to a name of these, in any case, that may go on and be quoted.
+
+    It goes on by a separator, a digit, a capital or a plural's s, so a tokenizer is no token.
+    Letters are spelt out, as the engines fold case differently.
+    """
+    any_case = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in names)
+    return rf"""(?:{any_case})[sS]?(?:[_\-0-9A-Z][0-9A-Za-z_\-]{{0,{NAME_SUFFIX}}})?\\?["']?[ \t]*(?::=|=>|[=:])[ \t]*""" + value
+
+
+#: Characters that a name may go on for after the word that makes it a secret's, and one more.
+NAME_SUFFIX = 80
+
 RULES = (
     Rule("private_key", 2, r"(-----BEGIN [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [0-9A-Z ]*PRIVATE KEY(?: BLOCK)?-----|[\s\S]*))", ("PRIVATE KEY",)),  # first: no other rule may cut its frame in redact()
     Rule("aws_access_key", 1, r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("AKIA", "ASIA")),
-    Rule("assigned_token", 1, r"""(?:token|TOKEN|api_key|API_KEY|apikey|secret|SECRET)[ \t]*[=:][ \t]*["']([0-9A-Za-z_\-]{20,})["']""", ("token", "TOKEN", "api_key", "API_KEY", "apikey", "secret", "SECRET")),
-    Rule("assigned_password", 1, r"""(?:password|PASSWORD|Password|passwd)[ \t]*[=:][ \t]*["']?([0-9A-Za-z!#$%&*+\-./?@^_~]{8,})""", ("password", "PASSWORD", "Password", "passwd")),
+    Rule("assigned_token", 2, _assigned(("token", "api_key", "api-key", "apikey", "secret"), r"""\\?["']([0-9A-Za-z_\-+/=]{20,})\\?["']"""), ("token", "api_key", "api-key", "apikey", "secret"), True),
+    Rule("assigned_password", 2, _assigned(("password", "passwd"), r"""\\?["']?([0-9A-Za-z!#$%&*+\-./?@^_~]{8,})"""), ("password", "passwd"), True),
     Rule("code_host_token", 1, r"(gh[pousr]_[0-9A-Za-z]{36})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", 1, r"(xox[abprs]-[0-9A-Za-z\-]{10,})", ("xox",)),
     Rule("maps_key", 1, r"(AIza[0-9A-Za-z_\-]{35})", ("AIza",)),
@@ -72,7 +88,8 @@ _FOUND = "blob string, rule string, secret_sha256 string"
 
 
 def _anchored(rule: Rule, text: Column) -> Column:
-    return reduce(Column.__or__, [F.contains(text, F.lit(a)) for a in rule.anchors])
+    within = F.lower(text) if rule.any_case else text
+    return reduce(Column.__or__, [F.contains(within, F.lit(a)) for a in rule.anchors])
 
 
 def _read(spark: SparkSession, path: str | None, schema: str) -> DataFrame:

@@ -98,5 +98,19 @@ def test_private_keys_go_whole(spark):
     assert same_as_sql(frame)
 
 
+def test_assignments_of_any_form(spark):
+    t, b, p = "0123456789abcdef0123456789", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY==", "hunter2hunter2"
+    token = ['{"api_key": "%s"}', "{'secret': '%s'}", 'Token = "%s"', 'Secret: "%s"', 'secret_key = "%s"', 'aws_secret_access_key="%s"', "clientSecretValue := '%s'", "'apiKey' => '%s'", 'ACCESS_TOKEN2="%s"', 'x-api-key: "%s"', r'"source": "{\"api_key\": \"%s\"}"', 'tokens = "%s"']
+    word = ['{"password": "%s"}', "'PassWord': '%s'", "password_prod = %s", "DbPassword1: %s", r'{\"passwd\":\"%s\"}', "password=%s"]
+    none = ['tokenizer = "sentencepiece_unigram_model"', 'secretary: "aaaaaaaaaaaaaaaaaaaaaaaa"', 'a token "aaaaaaaaaaaaaaaaaaaaaaaa"', "ſecret = '0123456789abcdef0123456789'", "to\u212aen = '0123456789abcdef0123456789'", "passwords are long: really", "secret" * 20_000]
+    cases = [(form, "assigned_token", v) for form in token for v in (t, b)] + [(form, "assigned_password", p) for form in word]
+    texts = [form % v for form, _, v in cases] + none
+    frame = spark.createDataFrame([(n, x, "en", "s0", None) for n, x in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text for r in S.redact(frame).collect()}
+    assert [out[n] for n in range(len(texts))] == [form % f"[{name}]" for form, name, _ in cases] + none
+    assert [(r[0], r[2], r[3]) for r in sorted(rows(S.scan(frame)))] == [(n, f"{name}@2", hashlib.sha256(v.encode()).hexdigest()) for n, (_, name, v) in enumerate(cases)]
+    assert same_as_sql(frame) and rows(S.scan(frame)) == brute(frame.collect())
+
+
 def test_empty(no_docs, docs):
     assert rows(S.scan(no_docs)) == [] and rows(S.redact(no_docs)) == [] and rows(S.scan(docs)) == []
