@@ -11,7 +11,8 @@ Overlapping and touching occurrences merge to spans of words.
 Words are those of ``kernels``: case and punctuation between words don't count.
 
 The phrases travel with the task when their text is at most SLICE_CHARS;
-a larger benchmark goes in slices by hash, each a pass over the corpus.
+a larger benchmark goes in slices by hash, each a pass over the corpus that
+searches the original text; the result is that of one slice.
 
 Defined results: a null or wordless text has no spans; a document of any
 length is indexed whole (a long one is a shard of its own).  Equal rows have
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .fm_index import FMIndex
@@ -198,36 +200,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     """``docs`` without the benchmark's passages; ``n_chars`` follows where it is a column, and a document with nothing left goes.
 
     It is one pass over the documents without a shuffle.  With a benchmark of
-    several slices each pass sees what the last one left.
+    several slices each pass adds what it finds in the text, which stays as it
+    was, to a column of spans, and the last one cuts them all.
     """
-    schema, columns = docs.schema, docs.columns
-    for items in _slices(benchmark):
-        phrases = Phrases(items, n)
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+    fields = docs.schema.fields
+    (marks,) = K.spare(docs, "_spans")
+    slices = _slices(benchmark)
+    items, first = next(slices, None), True
+    while items is not None:
+        phrases, following = Phrases(items, n), next(slices, None)
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, first: bool = first, last: bool = following is None) -> Iterator[pa.RecordBatch]:
             for shard in _shards(batches, "text"):
-                at = columns.index("text")
-                texts = shard.column(at).to_pylist()
-                found = merged(phrases.find(texts))
-                if found:
-                    for d, own in found.items():
-                        texts[d] = cut_words(texts[d], own)
-                    shard = shard.set_column(at, shard.field(at), pa.array(texts, shard.field(at).type))
-                    if "n_chars" in columns:
-                        k = columns.index("n_chars")
-                        counts = shard.column(k).to_pylist()
-                        for d in found:
-                            counts[d] = len(texts[d])
-                        shard = shard.set_column(k, shard.field(k), pa.array(counts, shard.field(k).type))
-                    empty = {d for d in found if not K.WORD.search(texts[d].lower())}
-                    if empty:
-                        shard = shard.filter(pa.array([d not in empty for d in range(len(texts))]))
+                found = phrases.find(shard.column("text").to_pylist())
+                if not first:
+                    found += [(d, a, b - a, []) for d, own in enumerate(shard.column(marks).to_pylist()) for a, b in zip(own[::2], own[1::2])]
+                    shard = shard.drop_columns([marks])
+                spans = merged(found)
+                if not last:
+                    shard = shard.append_column(marks, pa.array([[x for span in spans.get(d, ()) for x in span] for d in range(len(shard))], pa.list_(pa.int64())))
+                elif spans:
+                    shard = _without(shard, spans)
                 yield from shard.to_batches(max_chunksize=10_000)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, T.StructType(fields if following is None else [*fields, T.StructField(marks, T.ArrayType(T.LongType()))]))
+        items, first = following, False
     return docs
 
 
+def _without(shard: pa.Table, spans: dict[int, list[tuple[int, int]]]) -> pa.Table:
+    """The rows of a shard without these spans of words of each text."""
+    columns = shard.column_names
+    at = columns.index("text")
+    texts = shard.column(at).to_pylist()
+    for d, own in spans.items():
+        texts[d] = cut_words(texts[d], own)
+    shard = shard.set_column(at, shard.field(at), pa.array(texts, shard.field(at).type))
+    if "n_chars" in columns:
+        k = columns.index("n_chars")
+        counts = shard.column(k).to_pylist()
+        for d in spans:
+            counts[d] = len(texts[d])
+        shard = shard.set_column(k, shard.field(k), pa.array(counts, shard.field(k).type))
+    empty = {d for d in spans if not K.WORD.search(texts[d].lower())}
+    if empty:
+        shard = shard.filter(pa.array([d not in empty for d in range(len(texts))]))
+    return shard
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(K.table(spark, sf_dir, "documents"), K.table(spark, sf_dir, "benchmark"))
 

@@ -82,6 +82,27 @@ def test_slices_find_the_same(leaky, benchmark, monkeypatch):
     assert rows(D.spans(leaky, benchmark)) == whole
 
 
+def test_slices_cut_the_same(spark, clashing, monkeypatch):
+    """Items that share words, and words that cutting brings together."""
+    items, texts = [], []
+    for k in range(8):
+        a, shared, b = prose(2000 + k, 6), prose(2100 + k, 8), prose(2200 + k, 5)
+        items += [f"{a} {shared}", f"{shared} {b}", f"{a} {b}"]
+        texts += [f"{prose(2300 + k, 20)} {a} {shared} {b} {prose(2400 + k, 20)}", f"{prose(2500 + k, 9)} {a} {shared} {b}", f"{a} {shared} {b}", f"{a}, {prose(2600 + k, 3)} {b}"]
+    # clean words around a passage that are a phrase of their own without it
+    items += [f"{prose(2700 + k, 4)} {prose(2800 + k, 4)}" for k in range(8)] + [prose(2900 + k, 9) for k in range(8)]
+    texts += [f"{prose(2700 + k, 4)} {prose(2900 + k, 9)} {prose(2800 + k, 4)} end" for k in range(8)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    leaky = spark.createDataFrame([(k // 2 * 2 if k % 5 else None, t, "en", "s0", k if k % 3 else None) for k, t in enumerate(texts)], SCHEMA)
+    whole = rows(D.decontaminate(leaky, benchmark))
+    odd = clashing.selectExpr("*", "'mine' AS _spans")
+    kept = rows(D.decontaminate(odd, benchmark))
+    monkeypatch.setattr(D, "SLICE_CHARS", 400)
+    assert len(list(D._slices(benchmark))) > 3
+    assert rows(D.decontaminate(leaky, benchmark)) == whole and len(whole) == len(texts) - 8
+    assert rows(D.decontaminate(odd, benchmark)) == kept == rows(odd)
+
+
 def test_shards_find_the_same(leaky, benchmark, monkeypatch):
     monkeypatch.setattr(D, "SHARD_WORDS", 50)
     texts = [r[1] for r in leaky.collect()]
