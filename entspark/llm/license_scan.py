@@ -11,7 +11,9 @@ All findings of a document hold together (``AND``).
 
 Defined results: documents with a null text, an empty one or without findings
 have no row.  An expression that can't be read is ``LicenseRef-unreadable``,
-an unknown identifier stays as it is; both are of category ``unknown``.  Texts
+an unknown identifier stays as it is; both are of category ``unknown``.  After
+an operator in capitals any word is an identifier; at a tag's start and after
+other operators a word that isn't on the SPDX list is prose where more follows.  Texts
 of any length are read whole.  Each row of ``docs`` is scanned for itself, so
 repeated rows repeat and a null doc_id stays null.  Other columns are ignored;
 an empty table gives no rows.
@@ -79,10 +81,28 @@ PHRASES = {
 TAG = "spdx-license-identifier:"
 UNREADABLE = "LicenseRef-unreadable"
 
+#: The identifiers of the SPDX list that have neither hyphen nor digit and so look like words.
+WORD_IDS = frozenset(
+    """
+    AAL Abstyles ADSL Afmparse Aladdin AMDPLPA AML AMPAS APAFML Baekmuk Bahyph Barr Beerware blessing Borceux Caldera Catharon CFITSIO checkmk ClArtistic
+    Clips Cronyx Crossword CryptoSwift CrystalStacker Cube curl diffmark DOC Dotseqn DSDP dtoa dvipdfm eGenix Entessa EPICS EUDatagrid Eurosym Fair FBM
+    FreeImage FSFAP FSFUL FSFULLR FSFULLRSD FSFULLRWD FTL Furuseth fwlw GD Giftware Glide Glulxe GLWTPL gnuplot gtkbook Gutmann HaskellReport hdparm
+    HIDAPI HPND HTMLTIDY ICU IJG ImageMagick iMatix InnoSetup Intel IPA ISC Jam jove JPNIC JSON Kastrup Kazlib Leptonica LGPLLR Libpng libtiff LLGPL LOOP
+    lsof magaz mailprio MakeIndex metamail Minpack MIPS MirOS MIT MITNFA MMIXware Motosoto mplus MTLL Multics Mup Naumen NCL NCSA NetCDF Newsletr NGPL
+    ngrep NLPL Nokia NOSL Noweb NRL NTP Nunit OAR OFFIS OGTSL OML OpenSSL OpenVision PADL Pixar pkgconf Plexus pnmstitch PostgreSQL PPL psfrag psutils
+    Qhull radvd Rdisc RSCPL Ruby Saxpath SCEA SchemeReport Sendmail SISSL SL Sleepycat SMLNJ SMPPL SNIA snprintf SOFA softSurfer Soundex SunPro SWL swrule
+    Symlinks TCL TermReadKey ThirdEye threeparttable TMate TOSL TPDL TrustedQSL TTWL UCAR ulem UnixCrypt Unlicense Vim VOSTROM Wsuipa WTFPL wwl wxWindows
+    Xerox Xfig xinetd xlock Xnet xpp XSkat xzoom Zed Zeeff Zlib
+    """.lower().split()
+)
+
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\(|\)|[0-9A-Za-z.+:\-]+")
 _EXPRESSION = re.compile(r"[ \t]*((?:[0-9A-Za-z.+:\-]|\(|\)|[ \t])*)")
 
+#: After an operand: the line's end, a closing parenthesis, comment, quote or tag, or an operator.
+_AFTER = re.compile(r"""\s*(?:$|[)"'`<}\]]|\*+[/)]|-->|#\}|(?i:and|or|with)\s)""")
+
 
 def parse(expression: str) -> list[str]:
     """The expression in reverse Polish form; ValueError if it isn't one."""
@@ -163,21 +183,27 @@ def _automaton():
     return a
 
 
+def _is_identifier(low: str, rest: str) -> bool:
+    """Whether a word is no prose: it is known, has a hyphen or a digit, or the expression goes on or ends after it."""
+    return low[0].isalnum() and (low in _BY_LOWER or low in WORD_IDS or any(c in "-0123456789" for c in low) or bool(_AFTER.match(rest)))
+
+
 def _tag(line: str) -> tuple[str, int]:
-    """The longest beginning of a tag's line that can be read; prose may follow it. An unknown identifier has a hyphen or a digit."""
-    words = _EXPRESSION.match(line).group(1)
+    """The longest beginning of a tag's line that can be read; prose may follow it."""
+    expression = _EXPRESSION.match(line)
+    words, begin = expression.group(1), expression.start(1)
     ends: list[int] = []
-    depth, operand = 0, True
+    depth, operand, sure = 0, True, False
     for m in _TOKEN.finditer(words):
         low = m.group().lower()
         if operand and low == "(":
             depth += 1
-        elif operand and low not in _STRENGTH and low != ")" and (low in _BY_LOWER or any(c in "-0123456789" for c in low)):
+        elif operand and low not in _STRENGTH and low != ")" and (sure and low[0].isalnum() or _is_identifier(low, line[begin + m.end() :])):
             operand = False
         elif not operand and low == ")" and depth:
             depth -= 1
         elif not operand and low in _STRENGTH:
-            operand = True
+            operand, sure = True, m.group().isupper()
         else:
             break
         if not operand and not depth:

@@ -53,6 +53,32 @@ def test_findings():
     assert L.findings("SPDX-License-Identifier:") == {L.UNREADABLE: 5}
 
 
+@pytest.mark.parametrize(
+    ("tag", "normal", "category"),
+    [
+        ("MIT AND OpenSSL", "MIT AND OpenSSL", "unknown"),
+        ("MIT OR WTFPL", "MIT OR WTFPL", "permissive"),
+        ("NCSA OR MIT", "NCSA OR MIT", "permissive"),
+        ("NCSA AND MIT */", "NCSA AND MIT", "unknown"),
+        ("mit and openssl", "MIT AND openssl", "unknown"),
+        ("(MIT AND Foo) OR GPL-3.0-only", "MIT AND Foo OR GPL-3.0-only", "copyleft"),
+        ("(Foo OR MIT) AND Bar -->", "(Foo OR MIT) AND Bar", "unknown"),
+        ("MIT AND Foo, see the notice", "MIT AND Foo", "unknown"),
+        ("MIT AND Foo see the notice", "MIT AND Foo", "unknown"),
+        ("GPL-2.0-only WITH Own", "GPL-2.0-only WITH Own", "weak-copyleft"),
+        *((x, x, "unknown") for x in ("Ruby", "PostgreSQL", "Vim", "curl", "Beerware", "Proprietary")),
+        ("Ruby is the license", "Ruby", "unknown"),
+        ("see the file", L.UNREADABLE, "unknown"),
+        ("MIT and others follow", "MIT", "permissive"),
+        ("MIT -- see", "MIT", "permissive"),
+        ("--", L.UNREADABLE, "unknown"),
+        ("AND MIT", L.UNREADABLE, "unknown"),
+    ],
+)
+def test_unknown_identifiers_stay(tag, normal, category):
+    assert L.findings(f"# SPDX-License-Identifier: {tag}\nand code") == {normal: L.CATEGORIES.index(category)}
+
+
 def test_table(spark, docs, clashing, no_docs):
     more = [(70, f"{prose(1, 20_000)} Apache License, Version 2.0 {prose(2, 20)} CC BY-NC 4.0", "en", "s", 1), (71, "MIT License", "en", "s", 1), (71, "MIT License", "en", "s", 1), (None, "ISC License", None, None, None)]
     out = rows(L.scan_licenses(docs.unionByName(spark.createDataFrame(more, SCHEMA))))
