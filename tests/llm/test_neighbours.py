@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -5,6 +7,7 @@ from entspark.llm import neighbours as N
 
 from .conftest import rows
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
@@ -17,9 +20,10 @@ def brute(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("cell", [50, 100_000])
-def test_recall_of_every_row(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell,ask", [(50, 40), (100_000, 65_536)])
+def test_recall_of_every_row(spark, monkeypatch, cell, ask):
     monkeypatch.setattr(N, "CELL_ROWS", cell)
+    monkeypatch.setattr(N, "ASK_ROWS", ask)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 24))
     x = (centres[rng.integers(0, 12, 700)] + 0.4 * rng.normal(size=(700, 24))).astype(np.float32).astype(float)
@@ -47,7 +51,7 @@ def test_the_test_stops_search():
 
     N.Best.add = counted
     try:
-        N.search(np.arange(6_000), x, y, np.arange(6_000), x, y, 10)
+        N.Cell(np.arange(6_000), x, y).search(np.arange(6_000), x, y, 10)
     finally:
         N.Best.add = add
     assert seen < 0.1 * 6_000**2
@@ -71,5 +75,29 @@ def test_defined_results(spark):
     assert rows(N.nearest(clash, 2)) == out
     assert rows(N.nearest(spark.createDataFrame([], SCHEMA))) == []
     assert rows(N.nearest(spark.createDataFrame([(1, [1.0, 2.0], 0)], SCHEMA))) == []
-    many = spark.createDataFrame([(k, [1.0, 1.0], 0) for k in range(600)], SCHEMA)
-    assert {(r.rank, r.distance) for r in N.nearest(many, 3).collect()} == {(1, 0.0), (2, 0.0), (3, 0.0)}
+    assert rows(N.nearest(frame, 2, asking="vec_id % 2 = 0")) == [r for r in out if r[0] % 2 == 0]
+    assert rows(N.nearest(frame.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding"), 2)) == out
+
+
+def test_a_hot_vector(spark, monkeypatch):
+    """Of a vector that a third of all rows has, the least ids are the nearest, whatever the cells hold."""
+    monkeypatch.setattr(N, "CELL_ROWS", 64)
+    frame = spark.createDataFrame([(k, [1.0, 1.0] if k % 3 == 0 else [float(k), 2.0], 0) for k in range(900)], SCHEMA)
+    got = {}
+    for r in N.nearest(frame, 3).filter("vec_id % 3 = 0").collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, r.distance))
+    assert len(got) == 300
+    for i, own in got.items():
+        assert sorted(own) == [(n + 1, j, 0.0) for n, j in enumerate([j for j in (0, 3, 6, 9) if j != i][:3])]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the tables aren't here")
+def test_the_query_against_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    got = {}
+    for r in N.query(spark, SF).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = r.neighbour_id
+    assert set(got) == {int(i) for i in ids if i % 50 == 0} and all(sorted(v) == list(range(1, 11)) for v in got.values())
+    want = brute(ids, x, 10)
+    assert sum(len(set(got[i].values()) & set(want[i])) for i in got) >= 0.9 * 10 * len(got)
