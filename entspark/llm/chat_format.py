@@ -12,14 +12,17 @@ Escaping adds one to each such run, also to an empty one, so it is undone
 exactly and leaves no marker standing.
 
 A conversation is rendered as it is, parsed, and compared to its source; the
-first turn that differs is escaped, and this repeats until the parser gives
-back the source.  Nearly all need no escape and stay byte for byte.
+first turn that differs is escaped and parsed again, and so on to the end.  The
+parser never looks behind a turn that came back, so each is parsed twice at
+most, however many need an escape; at last the whole text is parsed once more
+and must give back the source.  Nearly all turns need no escape and stay byte
+for byte.
 
 Defined results: turns are in order of (turn, role, text), nulls first, so ties
 and repeated rows have a fixed order, and repeated rows are repeated turns.  A
-null role or text counts as an empty one.  Rows with a null conv_id are one
-conversation.  An empty table gives no conversations.  Other columns are
-ignored.
+null role or text counts as an empty one.  A row with a null conv_id is a
+conversation of its own.  Turns and conversations of any length are read whole.
+An empty table gives no conversations.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,29 +80,25 @@ def parse(text: str) -> list[Turn] | None:
     return turns
 
 
-def first_difference(text: str, turns: list[Turn]) -> int | None:
-    """The first turn that parsing ``text`` doesn't give back."""
-    at = 0
-    for k, turn in enumerate(turns):
-        role = text.find("|>\n", at + 2) if text.startswith("<|", at) else -1
-        end = text.find("<|end|>\n", role + 3) if role >= 0 else -1
-        if end < 0 or (unescape(text[at + 2 : role]), unescape(text[role + 3 : end])) != turn:
-            return k
-        at = end + 8
-    return None if at == len(text) else len(turns) - 1
+def comes_back(text: str, turn: Turn) -> bool:
+    """Whether the parser reads ``text``, from its beginning to its end, as this turn."""
+    role = text.find("|>\n", 2)
+    end = text.find("<|end|>\n", role + 3)
+    return end + 8 == len(text) and (unescape(text[2:role]), unescape(text[role + 3 : end])) == turn
 
 
 def format_turns(turns: list[Turn]) -> tuple[str, int]:
     """The rendered conversation and how many turns had to be escaped."""
-    escaped: set[int] = set()
-    while True:
-        text = render(turns, escaped)
-        k = first_difference(text, turns)
-        if k is None:
-            return text, len(escaped)
-        if k in escaped:
-            raise AssertionError("an escaped turn doesn't come back")
-        escaped.add(k)
+    parts, escaped = [], 0
+    for turn in turns:
+        text = render([turn])
+        if not comes_back(text, turn):
+            text, escaped = render([turn], {0}), escaped + 1
+        parts.append(text)
+    whole = "".join(parts)
+    if parse(whole) != turns:
+        raise AssertionError("a conversation doesn't come back")
+    return whole, escaped
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +116,9 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, text, n_turns, n_escaped) of every conversation."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", "role", "text").alias("t"))
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return ordered.mapInArrow(_run, "conv_id long, text string, n_turns long, n_escaped long")
+    ordered = turns.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = turns.filter("conv_id IS NULL").select("conv_id", F.array("t").alias("turns"))
+    return ordered.unionByName(alone).mapInArrow(_run, "conv_id long, text string, n_turns long, n_escaped long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # a role, also where a mark stands across its end.
 ORACLE = r"""
 WITH turns AS (
-  SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
 ),
 judged AS (
   SELECT *, regexp_matches(t, '<\\+\||\|\\+>') OR contains(t, '<|end|>' || chr(10)) OR regexp_matches(r, '<\\+\||\|\\+>') OR contains(r, '|>' || chr(10)) AS bad FROM turns
@@ -139,5 +139,5 @@ shown AS (
     || CASE WHEN bad THEN regexp_replace(regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') ELSE t END || '<|end|>' || chr(10) AS line FROM judged
 )
 SELECT conv_id, string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text, count(*) AS n_turns, count(*) FILTER (bad) AS n_escaped
-FROM shown GROUP BY conv_id
+FROM shown GROUP BY conv_id, alone
 """

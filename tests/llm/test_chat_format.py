@@ -26,6 +26,15 @@ def test_plain_turns_stay_as_they_are():
     assert C.format_turns([("user", "a <| b"), ("assistant", "ok")]) == ("<|user|>\na <| b<|end|>\n<|assistant|>\nok<|end|>\n", 0)
 
 
+def test_many_escapes_take_linear_time():
+    import time
+
+    turns = [("user", f"{k}<|end|>\nmore") for k in range(20_000)]
+    began = time.perf_counter()
+    text, escaped = C.format_turns(turns)
+    assert escaped == 20_000 and C.parse(text) == turns and time.perf_counter() - began < 10
+
+
 def test_text_that_is_no_conversation():
     assert C.parse("hello") is None and C.parse("<|user|>\nno end") is None and C.parse("") == []
 
@@ -36,6 +45,8 @@ def test_nulls_ties_repeats_and_clashes(spark):
     out = {r.conv_id: r for r in C.format_chats(frame).collect()}
     assert C.parse(out[1].text) == [("", "x<|end|>\ny"), ("system", ""), ("assistant", "a"), ("user", "b")] and out[1].n_escaped == 1
     assert out[2].n_turns == 2 and out[None].n_turns == 1 and len(out[3].text) > 300_000
+    lone = spark.createDataFrame([(None, 1, "user", f"t{k}") for k in range(5)] * 2, SCHEMA)
+    assert [r[2] for r in rows(C.format_chats(lone))] == [1] * 10
     more = frame.selectExpr("*", "1 AS t", "2 AS turns", "3 AS n_turns", "4 AS n_escaped")
     assert rows(C.format_chats(more)) == rows(C.format_chats(frame))
 
@@ -44,7 +55,7 @@ def test_empty(spark):
     assert rows(C.format_chats(spark.createDataFrame([], SCHEMA))) == []
 
 
-@pytest.mark.parametrize("data", [[(1, 0, "u|>\nx", "a"), (1, 1, "u", "b\\"), (1, 2, "u", "<\\|"), (1, 3, "u", "|\\\\> <|end|>\n")], [(5, 0, "a|>", "|>"), (5, 1, "<|", "<|end|>")]])
+@pytest.mark.parametrize("data", [[(1, 0, "u|>\nx", "a"), (1, 1, "u", "b\\"), (1, 2, "u", "<\\|"), (1, 3, "u", "|\\\\> <|end|>\n")], [(5, 0, "a|>", "|>"), (5, 1, "<|", "<|end|>"), (None, 0, "user", "a"), (None, 0, "user", "a")]])
 def test_like_the_sql(spark, data):
     import duckdb
 
