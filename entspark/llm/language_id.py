@@ -10,13 +10,15 @@ N-grams are four bytes of UTF-8 of the lower-cased text in which whatever is
 not a letter is a blank (runs of them one).
 
 The filters are fitted on at most ``PER_LANGUAGE`` labelled documents of each
-language, chosen by a hash of their identity.
+language, whole: those of the least hashes of their doc_id.  Their n-grams are
+counted where they are; only the n-grams that a language has often enough travel.
 
 Defined results: every row of ``docs`` has a row.  A null, empty or too short
 text, and one whose best score is under LEAST_SCORE, is ``und``; the score is
 then the best one, or 0.  Equal scores go to the first language by name.
-Repeated rows repeat.  Labels that are null are not learned from; without any
-labelled text all are ``und``.  An empty table gives an empty result.  Other
+Repeated rows repeat.  A text of any length is read whole.  Rows with a null
+label or a null doc_id are not learned from, and of rows of one doc_id and label
+the least text is; without any labelled text all are ``und``.  An empty table gives an empty result.  Other
 columns are ignored.
 """
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Labelled documents of a language that are learned from, at most, and the characters of them in all.
-PER_LANGUAGE, LANGUAGE_CHARS = 500, 4_000_000
+#: Labelled documents of a language that are learned from, at most.
+PER_LANGUAGE = 500
 #: Places of the filter (a power of two), hashes, and how often an n-gram has to occur in a language's sample.
 PLACES, HASHES, LEAST_COUNT = 1 << 20, 3, 2
 LEAST_SCORE, LEAST_GRAMS = 0.3, 3
@@ -55,18 +57,17 @@ def windows(b: np.ndarray) -> np.ndarray:
 
 
 class LanguageFilter:
-    def __init__(self, samples: dict[str, list[str]], places: int = PLACES):
-        self.languages = sorted(samples)
+    def __init__(self, known: dict[str, np.ndarray], places: int = PLACES):
+        """``known`` are the n-grams of each language."""
+        self.languages = sorted(known)
         # a mask holds 64 languages; more are in further filters
-        self.more = LanguageFilter({k: samples[k] for k in self.languages[64:]}, places) if len(self.languages) > 64 else None
+        self.more = LanguageFilter({k: known[k] for k in self.languages[64:]}, places) if len(self.languages) > 64 else None
         self.languages = self.languages[:64]
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.languages) <= 8 * np.dtype(t).itemsize)
         self.shift = np.uint32(32 - (places.bit_length() - 1))
         self.masks = np.zeros(places, kind)
         for k, name in enumerate(self.languages):
-            every = [grams(t) for t in samples[name]]
-            found, count = np.unique(np.concatenate(every) if every else np.empty(0, np.uint32), return_counts=True)
-            for at in self.places(found[count >= LEAST_COUNT]):
+            for at in self.places(known[name]):
                 self.masks[at] |= kind(1 << k)
         fill = np.array([((self.masks >> kind(k)) & kind(1)).mean() for k in range(len(self.languages))])
         self.false = fill**HASHES
@@ -117,28 +118,58 @@ class LanguageFilter:
 _BITS = np.array([[(m >> k) & 1 for m in range(256)] for k in range(8)])
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
-    """At most ``per_language`` texts of each language, by a hash of their identity."""
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+def frequent(samples: dict[str, list[str]]) -> dict[str, np.ndarray]:
+    """The n-grams that each language's texts have LEAST_COUNT times at least."""
+    out = {}
+    for name, texts in samples.items():
+        found, count = np.unique(np.concatenate([np.empty(0, np.uint32), *map(grams, texts)]), return_counts=True)
+        out[name] = found[count >= LEAST_COUNT]
+    return out
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, text) of at most ``per_language`` documents of each language, those of the least hashes."""
+    point = K.unit_hash(F.lit(SEED), F.col("doc_id").cast("string"))
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("lang", "text", point.alias("point"))
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    by_language = lambda numbers: F.element_at(F.create_map(*[x for k, n in numbers.items() for x in (F.lit(k), F.lit(n))]), F.col("lang"))
     if not counts:
-        return {}
-    # a little more than the bound by hash, then cut to it
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_language / n + 20 / n)))]), F.col("lang"))
-    point = K.unit_hash(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = labelled.select("lang", "text", "doc_id", point.alias("point")).filter(F.col("point") < share).collect()
-    out: dict[str, list[str]] = {k: [] for k in counts}
-    chars = dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r.point, r.text)):
-        if len(out[r.lang]) < per_language and chars[r.lang] < LANGUAGE_CHARS:
-            out[r.lang].append(r.text)
-            chars[r.lang] += len(r.text)
-    return out
+        return labelled.select("lang", "text").limit(0)
+    # the hashes under a bound that all but surely holds enough of them, in rising order; else all
+    few = {k: min(1.0, (1.5 * per_language + 50) / n) for k, n in counts.items()}
+    while True:
+        points: dict[str, list[float]] = {k: [] for k in counts}
+        for r in labelled.filter(F.col("point") < by_language(few)).select("lang", "point").distinct().collect():
+            points[r.lang].append(r.point)
+        short = {k: 1.0 for k, own in points.items() if len(own) < per_language and few[k] < 1}
+        if not short:
+            break
+        few |= {k: min(1.0, 4 * few[k]) for k in short}
+    last = {k: sorted(own)[min(per_language, len(own)) - 1] for k, own in points.items()}
+    return labelled.filter(F.col("point") <= by_language(last)).groupBy("lang", "point").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fitted(samples: DataFrame) -> LanguageFilter:
+    """The filter of the languages of labelled texts (lang, text), each with the n-grams that occur LEAST_COUNT times at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name in sorted(set(names)):
+                found, count = np.unique(np.concatenate([np.empty(0, np.uint32), *(grams(t) for n, t in zip(names, texts) if n == name)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
+
+    counted = samples.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).select("lang", "gram").toArrow()
+    known = {r[0]: np.empty(0, np.uint32) for r in samples.select("lang").distinct().collect()}
+    if counted.num_rows:
+        names, found = np.array(counted.column(0).to_pylist()), counted.column(1).to_numpy().astype(np.uint32)
+        known |= {k: np.sort(found[names == k]) for k in np.unique(names).tolist()}
+    return LanguageFilter(known)
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
     """(doc_id, predicted, score, n_grams) of every document; fits on the documents' own labels without a model."""
-    model = model or LanguageFilter(sample(docs))
+    model = model or fitted(K.cut(sample(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
