@@ -141,6 +141,12 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -5,37 +5,44 @@ the source, the language, the length and how the page is laid out (lines,
 shares of upper case, digits and symbols, shares of distinct words and of
 words that repeat the one before).  Each is a
 logistic regression.  Both begin from the same labelled documents; over rounds
-each labels the unlabelled pool, and its most confident labels of both classes
-go to the other view's training set.  Views are calibrated (Platt) on labelled
-documents kept out of training, and their log odds are added, less the prior's
-that both contain.  All documents are then scored in one pass; what travels is
-two weight vectors of fixed size.
-
-Learning uses at most LABELLED labelled documents and a pool of at most POOL
-others, both chosen by a hash of the doc_id; everything else sees all rows.
+each judges all other documents of the corpus, and of those that the other view
+hasn't learned from, its most confident ones of both classes go to the other
+view's training set.  Views are calibrated (Platt) on labelled documents kept
+out of training, and their log odds are added, less the prior's that both
+contain.  All documents are then scored in one pass; what travels is two weight
+vectors of fixed size, and in a round 2 x PER_ROUND documents' features.
+
+The features of all documents are written once, to the shared folder, and each
+round reads them; they are removed after training.  Learning uses at most
+LABELLED labelled documents, those of the least hashes of their doc_id;
+everything else sees all rows.
 
 Defined results: every row has a row.  A null text or one without any
 non-blank character has the score 0.0 and is rejected.  A null source or
 language is a value of its own.  Labels of one doc_id that contradict each
 other are left out, and so are null ones.  Without labels of both classes no
 document is judged: the score is null and all with content are kept.  Repeated
-rows get equal scores; an empty table gives an empty result.  ``keep_good``
-keeps the columns of ``docs`` as they are, whatever others there are.
+rows get equal scores and are learned from once; of equally confident documents
+the least hash goes first.  A text of any length is read whole; an empty table
+gives an empty result.  ``keep_good`` keeps the columns of ``docs`` as they are,
+whatever others there are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .language_id import windows
 
-LABELLED, POOL = 3_000, 3_000
+LABELLED = 3_000
 ROUNDS, PER_ROUND = 5, 100
 #: Places of hashed 4-grams, of hashed sources and languages; share of labelled documents that only calibrate.
 TEXT_DIMS, NAME_DIMS, HELD_OUT = 2_048, 64, 0.3
@@ -108,45 +115,51 @@ def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, l2: float
 class Model:
     """Two views' weights and calibrations, and the prior's log odds."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND):
+    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray):
         rng = np.random.default_rng(7)
         held = rng.random(len(y)) < HELD_OUT
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             held = np.arange(len(y)) % 2 == 0 if len(y) > 7 else np.ones(len(y), bool)
         learn = ~held if len(set(y[~held])) == 2 else np.ones(len(y), bool)
-        sets = {0: (a[learn], y[learn]), 1: (b[learn], y[learn])}
-        views, pools = (a, b), [pool_a, pool_b]
-        share = y[learn].mean()
-        taken: list[dict[int, float]] = [{}, {}]  # of each view, the pool's documents that it learns from
-        self.weights = [fit(*sets[v]) for v in (0, 1)]
-        for _ in range(rounds if len(pool_a) else 0):
-            for v in (0, 1):
-                p = self._raw(v, pools[v])
-                order = np.argsort(p, kind="stable")
-                order = order[[i not in taken[1 - v] for i in order.tolist()]]
-                good, bad = max(1, round(per_round * share)), max(1, round(per_round * (1 - share)))
-                for i in order[::-1][:good]:
-                    if p[i] > 0:
-                        taken[1 - v][int(i)] = 1.0
-                for i in order[:bad]:
-                    if p[i] < 0:
-                        taken[1 - v][int(i)] = 0.0
-            for v in (0, 1):
-                own = list(taken[v])
-                x = np.vstack([sets[v][0], pools[v][own]]) if own else sets[v][0]
-                t = np.concatenate([sets[v][1], [taken[v][i] for i in own]])
-                self.weights[v] = fit(x, t, self.weights[v], steps=80)
-        self.pseudo = [len(t) for t in taken]
+        self.y, self.held, self.views = y, held, (a, b)
+        self.sets = ((a[learn], y[learn]), (b[learn], y[learn]))
+        self.share = y[learn].mean()
+        self.taken: tuple[dict, dict] = ({}, {})  # of each view, the unlabelled documents that it learns from, with label and features
+        self.weights = [fit(*own) for own in self.sets]
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        # Platt: targets drawn in by one document of each class, so that a perfect split has finite odds
-        good, bad = y[held].sum(), (1 - y[held]).sum()
-        target = np.where(y[held] == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+
+    @property
+    def pseudo(self) -> list[int]:
+        return [len(t) for t in self.taken]
+
+    def wanted(self, per_round: int = PER_ROUND) -> tuple[int, int]:
+        """How many good and bad documents a view gives in a round."""
+        return max(1, round(per_round * self.share)), max(1, round(per_round * (1 - self.share)))
+
+    def exchange(self, given: tuple[dict, dict]) -> None:
+        """Learn again, with ``given[v]`` (key -> label and features) added to what view v learns from."""
+        for v in (0, 1):
+            self.taken[v].update(given[v])
+            own = sorted(self.taken[v].items())
+            x = np.vstack([self.sets[v][0], *(f[None, :] for _, (_, f) in own)])
+            t = np.concatenate([self.sets[v][1], [label for _, (label, _) in own]])
+            self.weights[v] = fit(x, t, self.weights[v], steps=80)
+
+    def calibrate(self) -> Model:
+        """Platt: targets drawn in by one document of each class, so that a perfect split has finite odds."""
+        good, bad = self.y[self.held].sum(), (1 - self.y[self.held]).sum()
+        target = np.where(self.y[self.held] == 1, (good + 1) / (good + 2), 1 / (bad + 2))
         self.scale = []
         for v in (0, 1):
-            raw = self._raw(v, views[v][held])
+            raw = self._raw(v, self.views[v][self.held])
             spread = max(1e-6, float(raw.std()))
             w = fit((raw / spread)[:, None], target, l2=1e-6, steps=2_000)
             self.scale.append((max(0.0, w[0] / spread), w[1]))
+        return self
+
+    def __getstate__(self) -> dict:
+        """Only what scoring needs travels."""
+        return {k: self.__dict__[k] for k in ("weights", "scale", "prior")}
 
     def _raw(self, v: int, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[v][:-1] + self.weights[v][-1]
@@ -161,26 +174,57 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -40, 40))) for x in (la, lb, la + lb - self.prior))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list]:
-    """Features of the labelled documents, with labels, and of the pool."""
-    judged = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = most").select("doc_id", F.col("most").alias("_quality"))
-    point = K.unit_hash(F.lit(SEED), F.col("doc_id").cast("string"))
-    every, corpus = judged.count(), docs.count()
-    known = judged.filter(point < min(1.0, LABELLED / max(1, every))) if every > LABELLED else judged
-    known = F.broadcast(K.cut(known.limit(2 * LABELLED)))
-    schema = "quality int, a binary, b binary"
+def _matrix(column, view: int) -> np.ndarray:
+    """Packed features as rows."""
+    width = TEXT_DIMS if view == 0 else len(metadata_view("", b"", None, None))
+    return np.frombuffer(b"".join(map(bytes, column)), np.float16).astype(np.float32).reshape(-1, width)
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, _quality) of at most LABELLED labels that nothing contradicts."""
+    judged = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = most")
+    return K.cut(judged.orderBy(K.unit_hash(F.lit(SEED), F.col("doc_id").cast("string")), "doc_id").limit(LABELLED).select("doc_id", F.col("most").alias("_quality")))
+
+
+def _features(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, quality, a, b) of all documents with content: a hash of the row, its label or null, both views' features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, texts, sources, langs = (c.to_pylist() for c in batch.columns)
-            rows = [(x, *(v.astype(np.float16).tobytes() for v in views)) for x, views in zip(q, _views(texts, sources, langs))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["quality", "a", "b"])
+            texts, sources, langs = (c.to_pylist() for c in batch.columns[2:])
+            rows = [tuple(v.astype(np.float16).tobytes() for v in views) for views in _views(texts, sources, langs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], names=["key", "quality", "a", "b"])
+
+    named = _with_names(docs).filter(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S"))).join(F.broadcast(known), "doc_id", "left")
+    return named.select(F.xxhash64("doc_id", "text", "source", "lang"), F.col("_quality").cast("int"), "text", "source", "lang").mapInArrow(run, "key long, quality int, a binary, b binary")
 
-    named = _with_names(docs).filter(F.col("doc_id").isNotNull() & F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S")))
-    pooled = (K.unit_hash(F.lit(SEED), F.lit("pool"), F.col("doc_id").cast("string")) < min(1.0, POOL / max(1, corpus))).alias("_pool")
-    rows = named.join(known, "doc_id", "left").withColumn("_pool", pooled).filter("_quality IS NOT NULL OR _pool").select(F.col("_quality").cast("int"), "text", "source", "lang").mapInArrow(run, schema).collect()
-    rows = sorted(((r.quality, bytes(r.a), bytes(r.b)) for r in rows), key=lambda r: (r[1], r[2], r[0] is None))
-    return [r for r in rows if r[0] is not None], [r for r in rows if r[0] is None]
+
+def _confident(model: Model) -> tuple:
+    """Rows of features -> of this task's, the most confident (view, good, rank, key) of each view that the other may learn from."""
+    weights, taken, wanted = model.weights, [np.array(sorted(t), np.int64) for t in model.taken], model.wanted()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {(v, good): (np.empty(0), np.empty(0, np.int64)) for v in (0, 1) for good in (False, True)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            for v in (0, 1):
+                # rounded, so that the order doesn't hang on how rows are summed up
+                raw = np.round((_matrix(batch.column(v + 1).to_pylist(), v) @ weights[v][:-1] + weights[v][-1]).astype(float), 4)
+                free = ~np.isin(keys, taken[1 - v])
+                for good in (False, True):
+                    own = free & ((raw > 0) if good else (raw < 0))
+                    rank, key = np.concatenate([best[v, good][0], -raw[own] if good else raw[own]]), np.concatenate([best[v, good][1], keys[own]])
+                    key, first = np.unique(key, return_index=True)
+                    rank = rank[first]
+                    order = np.lexsort((key, rank))[: wanted[0] if good else wanted[1]]
+                    best[v, good] = rank[order], key[order]
+        rows = [(v, good, float(r), int(k)) for (v, good), (rank, key) in best.items() for r, k in zip(rank, key)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.float64(), pa.int64()))], names=["view", "good", "rank", "key"])
+
+    return run
 
 
 def _with_names(docs: DataFrame) -> DataFrame:
@@ -189,13 +233,42 @@ def _with_names(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The co-trained model; None without labels of both classes."""
-    known, pool = _sample(docs, labels)
-    y = np.array([r[0] for r in known], float)
-    if len(set(y)) < 2:
+    known = _known(labels)
+    if known.select("_quality").distinct().count() < 2:
         return None
-    matrix = lambda rows, k, width: np.array([np.frombuffer(r[k], np.float16) for r in rows], np.float32).reshape(len(rows), width)
-    widths = TEXT_DIMS, len(metadata_view("", b"", None, None))
-    return Model(matrix(known, 1, widths[0]), matrix(known, 2, widths[1]), y, matrix(pool, 1, widths[0]), matrix(pool, 2, widths[1]))
+    spark = docs.sparkSession
+    path = f"{K.shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    _features(docs, known).write.option("compression", "zstd").parquet(path)
+    try:
+        features = spark.read.parquet(path)
+        rows = sorted(((r.quality, bytes(r.a), bytes(r.b)) for r in features.filter("quality IS NOT NULL").dropDuplicates(["key"]).collect()), key=lambda r: (r[1], r[2], r[0]))
+        y = np.array([r[0] for r in rows], float)
+        if len(set(y)) < 2:
+            return None
+        model = Model(_matrix([r[1] for r in rows], 0), _matrix([r[2] for r in rows], 1), y)
+        for _ in range(ROUNDS):
+            given = _given(features.filter("quality IS NULL"), model)
+            if not any(given):
+                break
+            model.exchange(given)
+    finally:
+        K.remove(spark, path)
+    return model.calibrate()
+
+
+def _given(unlabelled: DataFrame, model: Model) -> tuple[dict, dict]:
+    """What each view learns from the other in this round: key -> label and features."""
+    good, bad = model.wanted()
+    found = unlabelled.select("key", "a", "b").mapInArrow(_confident(model), "view int, good boolean, rank double, key long").distinct()
+    place = F.row_number().over(W.partitionBy("view", "good").orderBy("rank", "key"))
+    chosen = [(r.view, r.good, r.key) for r in found.withColumn("place", place).filter(F.col("place") <= F.when(F.col("good"), good).otherwise(bad)).collect()]
+    out: tuple[dict, dict] = ({}, {})
+    if chosen:
+        keys = F.broadcast(unlabelled.sparkSession.createDataFrame([(k,) for k in sorted({k for _, _, k in chosen})], "key long"))
+        rows = {r.key: (bytes(r.a), bytes(r.b)) for r in unlabelled.join(keys, "key").dropDuplicates(["key"]).collect()}
+        for view, is_good, key in chosen:
+            out[1 - view][key] = (float(is_good), _matrix([rows[key][1 - view]], 1 - view)[0])
+    return out
 
 
 def _judge(model: Model | None, texts: list, sources: list, langs: list) -> list[tuple[float | None, float | None, float | None, bool]]:

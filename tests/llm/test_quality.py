@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,9 @@ from entspark.llm import quality as Q
 from .conftest import SCHEMA, prose, rows
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def junk(seed):
     rng = random.Random(seed)
     words = prose(seed, rng.randint(10, 80)).split()
@@ -69,4 +73,51 @@ def test_without_labels_all_with_content_stay(spark, docs, no_docs):
 
 def test_contradicting_labels_are_left_out(corpus, labels, spark):
     wrong = spark.createDataFrame([(k, 0, 0) for k in range(1, 60)], labels.schema)
-    assert len(Q._sample(corpus, labels.unionByName(wrong))[0]) == 400 - sum(k % 5 != 0 for k in range(1, 60))
+    assert Q._known(labels.unionByName(wrong)).count() == 400 - sum(k % 5 != 0 for k in range(1, 60))
+
+
+def test_the_bound_on_labels_is_kept(labels, monkeypatch):
+    monkeypatch.setattr(Q, "LABELLED", 50)
+    known = Q._known(labels)
+    assert known.count() == 50 and sorted(map(tuple, known.collect())) == sorted(map(tuple, Q._known(labels.repartition(5)).collect()))
+
+
+def brute(docs, labels):
+    """score() with lists in place of tables: every round looks at all unlabelled documents."""
+    quality = {}
+    for r in labels:
+        if r.doc_id is not None and r.quality in (0, 1):
+            quality.setdefault(r.doc_id, set()).add(r.quality)
+    quality = {k: v.pop() for k, v in quality.items() if len(v) == 1}
+    full = {(r.doc_id, r.text, r.source, r.lang) for r in docs if r.text and r.text.strip()}
+    half = lambda v: v.astype(np.float16).astype(np.float32)
+    views = {k: tuple(map(half, next(Q._views([k[1]], [k[2]], [k[3]])))) for k in full}
+    known = sorted(((quality[k[0]], *(v.astype(np.float16).tobytes() for v in views[k]), k) for k in full if k[0] in quality), key=lambda r: (r[1], r[2], r[0]))
+    model = Q.Model(*(np.array([views[r[3]][v] for r in known]) for v in (0, 1)), np.array([r[0] for r in known], float))
+    rest = sorted((k for k in full if k[0] not in quality), key=repr)
+    good, bad = model.wanted()
+    for _ in range(Q.ROUNDS):
+        given = ({}, {})
+        for v in (0, 1):
+            raw = {k: round(float(views[k][v] @ model.weights[v][:-1] + model.weights[v][-1]), 4) for k in rest if repr(k) not in model.taken[1 - v]}
+            for k in sorted((k for k in raw if raw[k] > 0), key=lambda k: -raw[k])[:good]:
+                given[1 - v][repr(k)] = (1.0, views[k][1 - v])
+            for k in sorted((k for k in raw if raw[k] < 0), key=lambda k: raw[k])[:bad]:
+                given[1 - v][repr(k)] = (0.0, views[k][1 - v])
+        model.exchange(given)
+    model.calibrate()
+    out = {}
+    for r in docs:
+        k = (r.doc_id, r.text, r.source, r.lang)
+        out[k] = float(model.score(*(np.array([v]) for v in next(Q._views([r.text], [r.source], [r.lang]))))[2][0]) if k in views else 0.0
+    return out
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the tables aren't here")
+def test_the_query_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "labels"))
+    want = {k[0]: v for k, v in brute(docs, labels).items()}
+    got = {r.doc_id: r for r in Q.query(spark, SF).collect()}
+    assert set(got) == set(want) and len(docs) == len(want)
+    assert sum(abs(got[i].score - want[i]) < 0.02 for i in want) >= 0.99 * len(want)
+    assert sum(got[i].keep == (want[i] >= Q.THRESHOLD) for i in want) >= 0.995 * len(want)
