@@ -3,17 +3,24 @@
 Every version of a document is addressed by the SHA-256 of its content (its
 blob).  The ledger keeps which blob was scanned with which version of which
 rule, and what was found.  A run scans only pairs of blob and rule version that
-the ledger lacks, each once however many paths (documents) hold the blob, adds
-them to the ledger, and joins the findings back to all paths.  A secret itself
-is never kept: a finding has the SHA-256 of it.
+the ledger lacks, each once however many paths (documents, or documents and
+versions) hold the blob, adds them to the ledger, and joins the findings back to
+all paths.  A secret itself is never kept: a finding has the SHA-256 of it.
+
+``query`` and the pipeline keep a ledger for each folder of tables in the shared
+folder.  The ledger only grows: pairs are written after what was found in them,
+so a run that breaks off is repeated and not believed, and two runs at once at
+worst scan a pair twice and find the same.
 
 All matching stays in the JVM.  A rule names literal anchors one of which each
-of its matches contains; texts without them never reach the regular expression.
+of its matches contains; texts without them never reach the regular expression
+and are never moved.
 
 Defined results: a null text has no blob and no findings; an empty one is a
-blob without findings.  Rows that repeat give their findings once for each
-distinct (doc_id, blob); a null doc_id keeps its findings, under null.  An
-empty table gives no findings.  Other columns of ``docs`` are ignored by
+blob without findings.  A text of any length is read whole; of matches of one
+rule that overlap the first counts.  Rows that repeat give their findings once
+for each distinct path and blob; a null doc_id keeps its findings, under null.
+An empty table gives no findings.  Other columns of ``docs`` are ignored by
 ``scan`` and kept by ``redact``.  A private key reaches from its BEGIN line to
 the next END line of a private key, or to the text's end where none follows.
 An assigned token counts only in quotes, an assigned password also without.
@@ -21,6 +28,7 @@ An assigned token counts only in quotes, an assigned password also without.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -102,39 +110,45 @@ def _read(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def blobs(docs: DataFrame) -> DataFrame:
-    """(doc_id, blob) of all paths with content."""
-    return docs.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("blob"))
+def blobs(docs: DataFrame, path: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``path`` and ``blob`` of all paths with content."""
+    return docs.filter("text IS NOT NULL").select(*path, F.sha2("text", 256).alias("blob"))
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, path: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, blob, rule, secret_sha256) of all distinct findings; brings the ledger (a folder) up to date.
 
-    Without a ledger all blobs are new, and what is found goes to the shared folder.
+    ``path`` are the columns that name a version of a document, such as doc_id
+    and version.  Without a ledger all blobs are new, and what is found goes to
+    the shared folder.
     """
     spark = docs.sparkSession
     every = F.array(*(F.lit(r.id) for r in rules))
-    paths = blobs(docs)
-    one = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("at"))
+    paths = blobs(docs, path)
+    one = paths.select("blob").distinct()
     if ledger:
-        seen = _read(spark, f"{ledger}/scanned", _SCANNED).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = _read(spark, f"{ledger}/scanned", _SCANNED).filter(F.col("rule").isin([r.id for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = one.join(seen, "blob", "left").withColumn("todo", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))).filter(F.size("todo") > 0).drop("seen")
         todo = K.cut(todo)
     else:
         todo = one.withColumn("todo", every)
-    texts = docs.filter("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(-1)).alias("at"), F.sha2("text", 256).alias("blob"), "text")
-    new = texts.join(todo, ["blob", "at"])
-    hits = [_hits(r) for r in rules]
     anywhere = reduce(Column.__or__, [_anchored(r, F.col("text")) for r in rules])
-    found = new.filter(anywhere).select("blob", F.inline(F.concat(*hits))).distinct()
+    # of equal texts, of which there may be many, one is moved
+    texts = docs.filter(F.col("text").isNotNull() & anywhere).select(F.sha2("text", 256).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    found = texts.join(todo, "blob").select("blob", F.inline(F.concat(*(_hits(r) for r in rules)))).distinct()
     if ledger:
         found = K.cut(found)
         found.write.mode("append").parquet(f"{ledger}/found")
-        todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")  # last: a run that breaks off is repeated, not believed
+        todo.select("blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")  # last
         found = _read(spark, f"{ledger}/found", _FOUND).filter(F.col("rule").isin([r.id for r in rules])).distinct()
     else:
         found = K.cut(found)
-    return paths.join(found, "blob").select("doc_id", "blob", "rule", "secret_sha256").distinct()
+    return paths.join(found, "blob").select(*path, "blob", "rule", "secret_sha256").distinct()
+
+
+def ledger_of(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the ledger of a folder of tables."""
+    return f"{K.shared_dir(spark)}/secret-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
 
 
 def _hits(rule: Rule) -> Column:
@@ -188,7 +202,7 @@ def _first_group(pattern: str) -> tuple[int, int]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(K.table(spark, sf_dir, "documents"))
+    return scan(K.table(spark, sf_dir, "documents"), ledger_of(spark, sf_dir))
 
 
 def _oracle() -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 
@@ -7,6 +8,7 @@ from entspark.llm import secret_scan as S
 
 from .conftest import SCHEMA, prose, rows
 
+SF = "/root/testdata/sf0.001"
 KEY = "AKIA" + "ABCDEFGH12345678"
 
 
@@ -59,6 +61,31 @@ def test_ledger_scans_only_what_is_new(leaky, tmp_path, spark):
     assert spark.read.parquet(f"{ledger}/scanned").filter("rule = 'word@1'").count() == fresh.filter("text IS NOT NULL").select("text").distinct().count()
 
 
+def test_versions_of_documents(spark, tmp_path):
+    ledger, path = str(tmp_path / "ledger"), ("doc_id", "version")
+    row = lambda i, v, t: (i, v, t)
+    old = [row(1, "a", "clean"), row(1, "b", f"x {KEY}"), row(2, "a", f"x {KEY}"), row(2, "b", "clean"), row(2, "b", "clean")]
+    schema = "doc_id long, version string, text string"
+    first = rows(S.scan(spark.createDataFrame(old, schema), ledger, path=path))
+    assert [r[:2] for r in first] == [(1, "b"), (2, "a")]
+    scanned = spark.read.parquet(f"{ledger}/scanned")
+    assert scanned.count() == 2 * len(S.RULES)
+    new = [*old, row(1, "c", "clean"), row(3, "a", f"x {KEY}"), row(3, "b", f"y {KEY}")]
+    both = rows(S.scan(spark.createDataFrame(new, schema), ledger, path=path))
+    assert [r[:2] for r in both] == [(1, "b"), (2, "a"), (3, "a"), (3, "b")]
+    blob = hashlib.sha256(f"y {KEY}".encode()).hexdigest()
+    again = spark.read.parquet(f"{ledger}/scanned")
+    assert {r.blob for r in again.collect()} - {r.blob for r in scanned.collect()} == {blob} and again.count() == 3 * len(S.RULES)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the tables aren't here")
+def test_the_query_keeps_a_ledger(spark):
+    first = rows(S.query(spark, SF))
+    pairs = spark.read.parquet(f"{S.ledger_of(spark, SF)}/scanned").count()
+    assert pairs == spark.read.parquet(f"{SF}/documents.parquet").filter("text IS NOT NULL").select("text").distinct().count() * len(S.RULES)
+    assert rows(S.query(spark, SF)) == first and spark.read.parquet(f"{S.ledger_of(spark, SF)}/scanned").count() == pairs
+
+
 def test_redaction(leaky, clashing):
     out = {r.doc_id: r for r in S.redact(leaky).filter("doc_id BETWEEN 60 AND 64").collect()}
     assert out[60].text == "before [aws_access_key] after" and out[60].n_chars == 29
