@@ -2,7 +2,16 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes what it
 returns as Parquet in the shared folder and reads that again as the next
-stage's documents.  All but the last return the columns of ``documents``.
+stage's documents; a stage's folder goes once the next one is written.  All but
+the last return the columns of ``documents``.
+
+Defined results, of all stages: further columns, whatever their names, stay as
+they are; empty tables give empty results; texts of any length are read whole.
+Documents with a null or blank text go at the first stage, the others at none
+for their nulls: a null doc_id has no copies, a null source or language is a
+value of its own.  Repeated rows with one doc_id and text leave one at the
+second stage; of a class of near copies the least doc_id stays, so ties don't
+arise.  A document that is nothing but benchmark goes at the third.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret replaced by the name of its rule."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, secret_scan.ledger_of(spark, sf_dir))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +62,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mixture of the ``documents`` of a folder."""
-    kernels.shared_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = kernels.table(spark, sf_dir, "documents")
+    folder = f"{kernels.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = kernels.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            kernels.remove(spark, before)
+        before = path
     return docs
