@@ -103,5 +103,5 @@ class Registry:
         """The entities of a text; what an extractor can't read has none."""
         try:
             return self.lookup(plugin_path or path, hint if hint is not None else text)(text, path)
-        except (ValueError, IndexError, KeyError, RecursionError, re.error):
+        except Exception:  # noqa: BLE001  one file's fault mustn't end the others' task
             return []

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def log(commits: DataFrame, limit: int | None = 50) -> DataFrame:
     """Commits from the newest on."""
@@ -28,8 +30,20 @@ def touched_paths(changes: DataFrame) -> DataFrame:
 
 def consecutive(commits: DataFrame) -> DataFrame:
     """(older, newer): each commit with the one before it."""
-    older = F.lead("sha").over(W.orderBy(F.desc("ts"), "sha"))
-    return commits.select(older.alias("older"), F.col("sha").alias("newer")).filter("older IS NOT NULL")
+    order = [F.desc("ts"), F.col("sha")]
+    parts = cut(commits.select("ts", "sha").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    # a range of the order in each part: the places before it are counted, so no part holds all commits
+    starts, at = [], 0
+    for r in parts.groupBy("part").count().orderBy("part").collect():
+        starts.append((r["part"], at))
+        at += r["count"]
+    if not starts:
+        return commits.select(F.col("sha").alias("older"), F.col("sha").alias("newer")).limit(0)
+    start = commits.sparkSession.createDataFrame(starts, "part int, start long")
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order)) + F.col("start")
+    placed = cut(parts.join(F.broadcast(start), "part").select("sha", place.alias("place")))
+    older = placed.select(F.col("sha").alias("older"), (F.col("place") - 1).alias("place"))
+    return placed.withColumnRenamed("sha", "newer").join(older, "place").select("older", "newer")
 
 
 def hotspots(changes: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from ..functions import text as T
 from ..session import cut
 
 SIMILARITY = 0.8
-SIZE_RATIO = 0.5
+#: Candidates up to this number are chosen from in one group; more in the connected parts of their graph, with the same result.
+ONE_GROUP = 1_000_000
 
 
 def latest_occurrence(entities: DataFrame) -> DataFrame:
@@ -88,22 +89,58 @@ def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = SIMILA
     return scored.filter(F.col("inter") >= F.lit(threshold) * F.col("size_union") - 1e-9).select("scope", "entity_type", "b_id", "a_id", "b_ordinal", "a_ordinal", "inter", "size_union")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root) of all vertices of the undirected edges (u, v), the root the least: alternating large-star and small-star until nothing changes.
+
+    No vertex' neighbours are collected: a star is a minimum, summed up before
+    the shuffle, and a join of the edges with it.
+    """
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        rest = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return rest.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e, before = edges.filter("u <> v").distinct(), None
+    while True:
+        e = cut(small(large(e)))
+        now = e.agg(F.count("*"), total).first()
+        if now == before:
+            return e.select("u", F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("u"), F.col("v").alias("root"))).distinct()
+        before = now
+
+
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     pairs = pairs.assign(score=pairs["inter"] / pairs["size_union"]).sort_values(["a_ordinal", "a_id", "score", "b_ordinal", "b_id"], ascending=[True, True, False, True, True])
     taken: set[str] = set()
     out = []
-    for _, own in pairs.groupby(["a_ordinal", "a_id"], sort=True):
-        for row in own.itertuples(index=False):
-            if row.b_id not in taken:
-                taken.add(row.b_id)
-                out.append((row.scope, row.b_id, row.a_id))
-                break
+    last = None
+    for scope, b, a in zip(pairs["scope"], pairs["b_id"], pairs["a_id"]):
+        if a != last and b not in taken:
+            taken.add(b)
+            out.append((scope, b, a))
+            last = a
     return pd.DataFrame(out, columns=["scope", "b_id", "a_id"])
 
 
 def match_by_similarity(before: DataFrame, after: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One-to-one pairs: each after entity in order takes the most similar before entity still free, the earlier of equal ones."""
-    chosen = similar_pairs(before, after, threshold).groupBy("scope", "entity_type").applyInPandas(_greedy, "scope string, b_id string, a_id string")
+    pairs = cut(similar_pairs(before, after, threshold))
+    keys = ["scope", "entity_type"]
+    if pairs.limit(ONE_GROUP + 1).count() > ONE_GROUP:
+        # entities of different connected parts can't take each other's partners
+        vertex = lambda p: F.xxhash64(F.lit(p), "scope", "entity_type", p + "id")
+        parts = components(pairs.select(vertex("b_").alias("u"), vertex("a_").alias("v")))
+        pairs = pairs.withColumn("u", vertex("b_")).join(parts, "u")
+        keys = ["root"]
+    chosen = pairs.groupBy(*keys).applyInPandas(_greedy, "scope string, b_id string, a_id string")
     b, a = _side(before, "b_"), _side(after, "a_")
     return chosen.join(b, ["scope", "b_id"]).join(a, ["scope", "a_id"]).select(*b.columns, *(c for c in a.columns if c != "scope"))
 
@@ -153,19 +190,22 @@ def match_entities(before: DataFrame, after: DataFrame, similarity: float | None
     return out.unionByName(one_sided(left_a, "added")).unionByName(one_sided(left_b, "deleted"))
 
 
-def with_parent_names(changes: DataFrame, before: DataFrame, after: DataFrame, deepest: int = 16) -> DataFrame:
-    """``changes`` with ``parent_name``: the names of all ancestors from the outermost on, joined by ``::``; the after snapshot's first, cycles cut."""
+def with_parent_names(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``changes`` with ``parent_name``: the names of all ancestors from the outermost on, joined by ``::``; the after snapshot's first, cycles cut.
+
+    Each step goes up one level from all changes at once, until none has a parent.
+    """
     changes = cut(changes)
     both = after.select("scope", "id", "name", "parent_id", F.lit(0).alias("p")).unionByName(before.select("scope", "id", "name", "parent_id", F.lit(1).alias("p")))
     known = cut(both.groupBy("scope", "id").agg(F.min_by(F.struct("name", "parent_id"), "p").alias("e")).select("scope", "id", "e.name", "e.parent_id"))
     walk = changes.select("scope", F.col("id").alias("change_id"), F.col("parent_id").alias("at")).filter("at IS NOT NULL").withColumn("depth", F.lit(0)).withColumn("seen", F.array("at"))
     found = None
-    for _ in range(deepest):
+    while True:
         here = cut(walk.join(known.select("scope", F.col("id").alias("at"), "name", "parent_id"), ["scope", "at"]))
         step = here.select("scope", "change_id", "depth", "name")
         found = step if found is None else found.unionByName(step)
         walk = here.filter("parent_id IS NOT NULL AND NOT array_contains(seen, parent_id)").select("scope", "change_id", F.col("parent_id").alias("at"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", "parent_id").alias("seen"))
-        if walk.isEmpty():
+        if here.filter("parent_id IS NOT NULL").isEmpty() or walk.isEmpty():
             break
     names = found.filter("name <> ''").groupBy("scope", "change_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "name")), asc=False), lambda s: s["name"]), "::").alias("parent_name"))
     return changes.join(names.withColumnRenamed("change_id", "id"), ["scope", "id"], "left")

@@ -18,8 +18,11 @@ def longest_increasing(seq: list[int]) -> set[int]:
     link: list[int] = []
     for k, value in enumerate(seq):
         pile = bisect_left(tails, value)
-        tails[pile:] = [value, *tails[pile + 1 :]]
-        at[pile:] = [k, *at[pile + 1 :]]
+        if pile == len(tails):
+            tails.append(value)
+            at.append(k)
+        else:
+            tails[pile], at[pile] = value, k
         link.append(at[pile - 1] if pile else -1)
     out: set[int] = set()
     k = at[-1] if at else -1

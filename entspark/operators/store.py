@@ -46,10 +46,8 @@ def refresh(entities: DataFrame, edges: DataFrame, fresh: DataFrame, stale: Data
 
 def save(frame: DataFrame, path: str, partition: str = "file_bucket", buckets: int = 64) -> None:
     """Writes by buckets of the file's hash; only buckets that ``frame`` has are replaced."""
-    spark = frame.sparkSession
     bucketed = frame.withColumn(partition, F.pmod(F.xxhash64("file_path"), F.lit(buckets)))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    bucketed.write.mode("overwrite").partitionBy(partition).parquet(path)
+    bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -30,5 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder: its lineage ends there, and lost executors lose nothing of it."""
+    if frame._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD":
+        return frame  # nothing has been done to it since it was written
     shared_dir(frame.sparkSession)
     return frame.checkpoint()

@@ -14,7 +14,9 @@ def refresh_entities(changes: DataFrame, entities_path: str, checkpoint: str, re
     """Keeps stored entities up to date with a stream of (path, content); a null content removes the file.
 
     A file's entities are replaced as a whole, and the latest row of a file in a
-    batch counts, so a batch that is run again leaves the same result.
+    batch counts (``ts``, a column of ``changes``, says which).  Batch n writes
+    version n + 1 from the latest version before it, so a batch that is run again
+    doesn't read what it overwrites and leaves the same result.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -23,7 +25,7 @@ def refresh_entities(changes: DataFrame, entities_path: str, checkpoint: str, re
         touched = files.select(F.col("path").alias("file_path"))
         fresh = extract_files(files.filter("content IS NOT NULL"), registry)
         try:
-            kept = ST.load(spark, current_version(spark, entities_path)).join(touched, "file_path", "left_anti")
+            kept = ST.load(spark, current_version(spark, entities_path, number + 1)).join(touched, "file_path", "left_anti")
             now = kept.unionByName(fresh)
         except FileNotFoundError:
             now = fresh
@@ -32,11 +34,12 @@ def refresh_entities(changes: DataFrame, entities_path: str, checkpoint: str, re
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_version(spark, entities_path: str) -> str:
-    """The folder of the latest version; FileNotFoundError without one."""
+def current_version(spark, entities_path: str, below: int | None = None) -> str:
+    """The folder of the latest version, of those below a number; FileNotFoundError without one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(entities_path)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(path) else []
+    versions = [v for v in versions if below is None or v < below]
     if not versions:
         raise FileNotFoundError(entities_path)
     return f"{entities_path}/v{versions[-1]}"

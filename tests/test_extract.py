@@ -91,3 +91,42 @@ def test_custom_mappings_and_compound_suffixes():
     assert m[".inc"] == ".php" and m[".y"] == ".yaml"
     assert [e.name for e in Registry(m).extract("k: 1\n", "a.y")] == ["k"]
     assert [e.name for e in R.extract("function f() {\n}\n", "a.svelte.js")] == ["f"]
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "inner"),
+    [
+        ("a.ts", "function outer() {\n    function inner() {\n        return 42;\n    }\n    const x = 1;\n    each(function () {\n    });\n    return inner();\n}\n", "a.ts::a.ts::function::outer::inner"),
+        ("a.py", "def outer():\n    if x:\n        def inner():\n            return 42\n    return inner()\n", "a.py::a.py::function::outer::inner"),
+        ("a.rs", "fn outer() {\n    fn inner() -> i32 {\n        42\n    }\n    inner();\n}\n", "a.rs::a.rs::function::outer::inner"),
+        ("a.go", "type S struct {\n}\n\nfunc (s *S) M() {\n}\n", "a.go::a.go::struct::S::M"),
+    ],
+)
+def test_nested_definitions(path, text, inner):
+    es = R.extract(text, path)
+    assert len(es) == 2 and es[1].id(path) == inner and es[1].parent_id == es[0].id(path)
+    assert es[0].end_line >= es[1].end_line or path == "a.go"
+
+
+def test_a_body_far_below_its_signature():
+    far = "fn far(\n" + "".join(f"    a{k}: u8,\n" for k in range(40)) + ")\nwhere\n    T: Copy,\n{\n    x\n}\nfn next() {\n}\n"
+    assert [(e.name, e.start_line, e.end_line) for e in R.extract(far, "a.rs")] == [("far", 1, 47), ("next", 48, 49)]
+    assert [(e.name, e.start_line, e.end_line) for e in R.extract("class A {\n  fun one(): Int = 3\n  fun two() {\n  }\n}\n", "a.kt")] == [("A", 1, 5), ("one", 2, 2), ("two", 3, 4)]
+
+
+def test_forms_of_c_and_typescript():
+    assert [(e.name, e.start_line, e.end_line) for e in R.extract("static int\nmain(int a)\n{\n  return f(a);\n}\n", "a.c")] == [("main", 1, 5)]
+    names_ = [e.name for e in R.extract("class K {\n  static top = 1;\n  #hidden = 2;\n  run = (a: string) => {\n    let b = 1;\n    b = 2;\n  };\n  #secret(): void {\n  }\n}\n", "a.ts")]
+    assert names_ == ["K", "top", "#hidden", "run", "#secret"]
+
+
+def test_a_fault_of_one_file_loses_no_other(spark):
+    from entspark.operators.extract import extract_files
+
+    def broken(text, path):
+        raise AttributeError("no such thing")
+
+    registry = Registry()
+    registry.register((".odd",), broken)
+    out = extract_files(spark.createDataFrame([("a.odd", "x"), ("b.py", "def f():\n    pass\n")], "path string, content string"), registry)
+    assert [r.name for r in out.collect()] == ["f"]
