@@ -66,8 +66,7 @@ def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = SIMILA
     def sets(side: DataFrame) -> DataFrame:
         return side.select("scope", "entity_type", "id", "ordinal", T.token_set("content").alias("tokens")).withColumn("n", F.size("tokens"))
 
-    b = cut(sets(before))
-    a = b if after is before else cut(sets(after))
+    b, a = cut(sets(before)), cut(sets(after))
     every = b.select(F.explode("tokens").alias("token")).unionAll(a.select(F.explode("tokens").alias("token")))
     df = every.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -75,10 +74,9 @@ def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = SIMILA
         ranked = side.select("scope", "entity_type", "id", "n", F.explode("tokens").alias("token")).join(df, "token")
         w = W.partitionBy("scope", "entity_type", "id").orderBy("df", "token")
         keep = F.row_number().over(w) <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-        return cut(ranked.withColumn("keep", keep).filter("keep AND df > 1").select("scope", "entity_type", "id", "n", "token"))
+        return ranked.withColumn("keep", keep).filter("keep AND df > 1").select("scope", "entity_type", "id", "n", "token")
 
-    pb = prefixes(b)
-    pa = pb if a is b else prefixes(a)
+    pb, pa = prefixes(b), prefixes(a)
     named = lambda side, p: side.select("scope", "entity_type", F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), "token")
     candidates = named(pb, "b_").join(named(pa, "a_"), ["scope", "entity_type", "token"])
     candidates = candidates.filter(T.size_ratio_at_least("b_n", "a_n", threshold)).select("scope", "entity_type", "b_id", "a_id").distinct()
@@ -117,6 +115,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def near_sets(entities: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(entity_type, a, b, inter, size_union) of pairs a < b of entities of one type with similar token sets.
+
+    ``entities`` has (entity_type, id, content), the id a number.  Entities of
+    equal sets are one class, for which its least id stands: there is a row of it
+    with each other member, and of classes with each other, so a group of copies
+    has as many rows as members.  Words are their 64-bit hashes.  Pairs are put
+    in order before they meet.
+    """
+    hashed = F.array_sort(F.array_distinct(F.transform(T.tokens("content"), lambda w: F.xxhash64(w))))
+    sets = entities.select("entity_type", "id", hashed.alias("tokens"))
+    shape = F.xxhash64("tokens")
+    sets = cut(sets.withColumn("n", F.size("tokens")).filter("n > 0").withColumn("shape", shape))
+    classes = sets.groupBy("entity_type", "shape", "n").agg(F.min("id").alias("a"))
+    copies = sets.join(classes, ["entity_type", "shape", "n"]).filter("id <> a").select("entity_type", "a", F.col("id").alias("b"), F.col("n").alias("inter"), F.col("n").alias("size_union"))
+    one = sets.join(classes.select("entity_type", F.col("a").alias("id")), ["entity_type", "id"]).select("entity_type", "id", "n", "tokens")
+    words = one.select("entity_type", "id", "n", F.explode("tokens").alias("token"))
+    df = words.groupBy("entity_type", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    # the rarest first; words of one set alone can't be shared and come before all others
+    ranked = words.join(df, ["entity_type", "token"]).groupBy("entity_type", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    places = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    short = cut(ranked.filter(places > 0).select("entity_type", "id", "n", F.explode(F.slice("shared", F.lit(1), places.cast("int"))["token"]).alias("token")))
+    named = lambda p: short.select("entity_type", "token", F.col("id").alias(p), F.col("n").alias(p + "_n"))
+    met = named("a").join(named("b"), ["entity_type", "token"]).filter("a < b").filter(T.size_ratio_at_least("a_n", "b_n", threshold)).select("entity_type", "a", "b").distinct()
+    own = lambda p: one.select("entity_type", F.col("id").alias(p), F.col("tokens").alias("t" + p), F.col("n").alias("n" + p))
+    full = met.join(own("a"), ["entity_type", "a"]).join(own("b"), ["entity_type", "b"]).withColumn("inter", F.size(F.array_intersect("ta", "tb")))
+    pairs = full.withColumn("size_union", F.col("na") + F.col("nb") - F.col("inter")).filter(F.col("inter") >= F.lit(threshold) * F.col("size_union") - 1e-9)
+    return pairs.select("entity_type", "a", "b", "inter", "size_union").unionByName(copies)
+
+
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     pairs = pairs.assign(score=pairs["inter"] / pairs["size_union"]).sort_values(["a_ordinal", "a_id", "score", "b_ordinal", "b_id"], ascending=[True, True, False, True, True])
     taken: set[str] = set()
@@ -174,11 +202,14 @@ def one_sided(side: DataFrame, kind: str) -> DataFrame:
 
 def match_entities(before: DataFrame, after: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """The changes between two snapshots with a ``scope``; without the fuzzy phase if ``similarity`` is None."""
-    before, after = cut(latest_occurrence(before)), cut(latest_occurrence(after))  # each phase reads them, and each would extract again
-    same_id = match_by_id(before, after)
-    modified = same_id.filter("b_content_hash <> a_content_hash")
+    # one outer join has the pairs of equal ids and both rests; what is neither changed nor left over isn't written
+    b, a = _side(latest_occurrence(before), "b_"), _side(latest_occurrence(after), "a_").withColumnRenamed("scope", "_scope")
+    both = b.join(a, F.expr("scope = _scope AND b_id = a_id"), "full_outer").filter("b_id IS NULL OR a_id IS NULL OR b_content_hash <> a_content_hash")
+    both = cut(both.withColumn("scope", F.coalesce("scope", "_scope")).drop("_scope"))
+    modified = both.filter("b_id IS NOT NULL AND a_id IS NOT NULL")
     out = _changes(modified, F.lit("modified"), F.col("b_structural_hash") != F.col("a_structural_hash"))
-    left_b, left_a = cut(residual(before, same_id, "b_id")), cut(residual(after, same_id, "a_id"))
+    rest = lambda p, other: both.filter(f"{other}id IS NULL").select("scope", *(F.col(c).alias(c[2:]) for c in both.columns if c.startswith(p)))
+    left_b, left_a = rest("b_", "a_"), rest("a_", "b_")
     phases = [lambda b, a: match_by_key(b, a, "content_hash", True), lambda b, a: match_by_key(b, a, "structural_hash", False)]
     if similarity is not None:
         phases.append(lambda b, a: match_by_similarity(b, a, similarity))

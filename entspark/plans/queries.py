@@ -171,19 +171,35 @@ def _documents_as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("fuzzy_near_copies", """
 WITH t AS (SELECT DISTINCT doc_id, lang, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM t x JOIN t y ON x.w = y.w AND x.lang = y.lang AND x.doc_id < y.doc_id GROUP BY 1, 2)
+s AS (SELECT doc_id, lang, count(*) AS n, string_agg(w, ' ' ORDER BY w) AS ws FROM t GROUP BY 1, 2),
+k AS (SELECT lang, ws, n, min(doc_id) AS a FROM s GROUP BY 1, 2, 3),
+r AS (SELECT t.* FROM t JOIN k ON k.a = t.doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM r x JOIN r y ON x.w = y.w AND x.lang = y.lang AND x.doc_id < y.doc_id GROUP BY 1, 2)
 SELECT a AS doc_id_a, b AS doc_id_b, inter, p.n + q.n - inter AS size_union FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 5 * inter >= 4 * (p.n + q.n - inter)
+UNION ALL SELECT k.a, s.doc_id, s.n, s.n FROM s JOIN k USING (lang, ws, n) WHERE s.doc_id <> k.a
 """)
 def fuzzy_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents_as_entities(spark, sf_dir)
-    pairs = M.similar_pairs(docs, docs).filter("b_ordinal < a_ordinal")
-    return pairs.select(F.col("b_ordinal").alias("doc_id_a"), F.col("a_ordinal").alias("doc_id_b"), F.col("inter").cast("long").alias("inter"), F.col("size_union").cast("long").alias("size_union"))
+    """Pairs of different texts by the least document of each, and copies with the least of theirs."""
+    docs = _read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("lang").alias("entity_type"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return M.near_sets(docs).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.col("inter").cast("long").alias("inter"), F.col("size_union").cast("long").alias("size_union"))
 
 
-@register("fuzzy_greedy_matches")
+@register("fuzzy_greedy_matches", """
+WITH RECURSIVE t AS (SELECT DISTINCT doc_id, lang, source < 'src15' AS old, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT x.lang, x.doc_id AS b, y.doc_id AS a, count(*) AS inter FROM t x JOIN t y ON x.w = y.w AND x.lang = y.lang AND x.old AND NOT y.old GROUP BY 1, 2, 3),
+p AS (SELECT lang, a, b, inter / (m.n + q.n - inter) AS score FROM c JOIN s m ON m.doc_id = b JOIN s q ON q.doc_id = a WHERE 5 * inter >= 4 * (m.n + q.n - inter)),
+l AS (SELECT lang, a, list(b ORDER BY score DESC, b) AS bs FROM p GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY a) AS k FROM l),
+fold(lang, k, taken, a, b) AS (
+  SELECT DISTINCT lang, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM o
+  UNION ALL
+  SELECT f.lang, o.k, list_concat(f.taken, list_filter(o.bs, lambda x: NOT list_contains(f.taken, x))[1:1]), o.a, list_filter(o.bs, lambda x: NOT list_contains(f.taken, x))[1] FROM fold f JOIN o ON o.lang = f.lang AND o.k = f.k + 1
+)
+SELECT b AS before_id, a AS after_id FROM fold WHERE b IS NOT NULL
+""")
 def fuzzy_greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of odd and even sources as two snapshots, matched by similarity one to one."""
+    """Documents of sources before src15 and from it on as two snapshots, matched by similarity one to one."""
     docs = _documents_as_entities(spark, sf_dir).withColumn("ordinal", F.col("ordinal").cast("int"))
     half = F.expr("scope")
     source = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
@@ -205,6 +221,23 @@ def reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reordered(before, after).select("entity_id", "change_type", "file_path")
 
 
+@register("reordered_counts", f"""
+WITH RECURSIVE b AS ({S.BEFORE}),
+p AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY ordinal, id) AS k, row_number() OVER (PARTITION BY file_path ORDER BY CAST(regexp_extract(content, 'price ([0-9]+)', 1) AS BIGINT), id) AS place FROM b),
+fold(file_path, k, tails) AS (
+  SELECT DISTINCT file_path, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM p
+  UNION ALL
+  SELECT f.file_path, p.k, list_concat(list_concat(list_filter(f.tails, lambda x: x < p.place), [p.place]), list_filter(f.tails, lambda x: x >= p.place)[2:]) FROM fold f JOIN p ON p.file_path = f.file_path AND p.k = f.k + 1
+),
+ends AS (SELECT file_path, max(k) AS n, max(len(tails)) AS longest FROM fold GROUP BY 1)
+SELECT file_path, n - longest AS n FROM ends WHERE n > longest
+""")
+def reordered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many entities of each file are outside a longest increasing run."""
+    before, after = _shelves(spark, sf_dir)
+    return R.reordered(before, after).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
 @register("reordered_steps", f"""
 WITH b AS ({S.BEFORE}), p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY CAST(regexp_extract(content, 'price ([0-9]+)', 1) AS BIGINT), id) AS place FROM b),
 l AS (SELECT file_path, CASE WHEN lag(place) OVER (PARTITION BY file_path ORDER BY ordinal, id) > place THEN 1 ELSE 0 END AS back FROM p)
@@ -455,17 +488,17 @@ def _code(spark: SparkSession, after: bool = False) -> tuple[DataFrame, DataFram
     return files, entities, cut(SC.resolve(SC.python_facts(files), entities))
 
 
-@register("python_entities")
+@register("python_entities", """SELECT * FROM (VALUES ('shop/models.py::class::Base', 'class', 'Base', 1, 3), ('shop/models.py::shop/models.py::class::Base::save', 'method', 'save', 2, 3), ('shop/models.py::class::Item', 'class', 'Item', 6, 12), ('shop/models.py::shop/models.py::class::Item::__init__', 'method', '__init__', 7, 9), ('shop/models.py::shop/models.py::class::Item::label', 'method', 'label', 11, 12), ('shop/models.py::function::shorten', 'function', 'shorten', 15, 16), ('shop/models.py::function::store', 'function', 'store', 19, 20), ('shop/stock.py::class::Shelf', 'class', 'Shelf', 4, 15), ('shop/stock.py::shop/stock.py::class::Shelf::__init__', 'method', '__init__', 5, 6), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'method', 'add', 8, 11), ('shop/stock.py::shop/stock.py::class::Shelf::describe', 'method', 'describe', 13, 15), ('shop/stock.py::function::open_shelf', 'function', 'open_shelf', 18, 19), ('shop/shop.py::function::run', 'function', 'run', 5, 9), ('shop/shop.py::function::report', 'function', 'report', 12, 14), ('shop/shop.py::function::test_report', 'function', 'test_report', 17, 18)) t(id, entity_type, name, start_line, end_line)""")
 def python_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code(spark)[1].select("id", "entity_type", "name", "start_line", "end_line")
 
 
-@register("scope_edges")
+@register("scope_edges", """SELECT * FROM (VALUES ('shop/models.py::class::Item', 'shop/models.py::class::Base', 'typeref', 'scope_chain'), ('shop/models.py::shop/models.py::class::Base::save', 'shop/models.py::function::store', 'calls', 'scope_chain'), ('shop/models.py::shop/models.py::class::Item::label', 'shop/models.py::function::shorten', 'calls', 'scope_chain'), ('shop/stock.py::shop/stock.py::class::Shelf::__init__', 'shop/models.py::class::Item', 'typeref', 'import'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::class::Item', 'typeref', 'import'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::shop/models.py::class::Item::label', 'calls', 'type_tracking'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::shop/models.py::class::Base::save', 'calls', 'type_tracking'), ('shop/stock.py::shop/stock.py::class::Shelf::describe', 'shop/stock.py::shop/stock.py::class::Shelf::add', 'calls', 'scope_chain'), ('shop/stock.py::shop/stock.py::class::Shelf::describe', 'shop/models.py::shop/models.py::class::Item::label', 'calls', 'type_tracking'), ('shop/stock.py::function::open_shelf', 'shop/stock.py::class::Shelf', 'typeref', 'scope_chain'), ('shop/shop.py::function::run', 'shop/stock.py::function::open_shelf', 'calls', 'import'), ('shop/shop.py::function::run', 'shop/stock.py::shop/stock.py::class::Shelf::add', 'calls', 'type_tracking'), ('shop/shop.py::function::run', 'shop/shop.py::function::report', 'calls', 'scope_chain'), ('shop/shop.py::function::report', 'shop/stock.py::class::Shelf', 'typeref', 'import'), ('shop/shop.py::function::report', 'shop/stock.py::shop/stock.py::class::Shelf::describe', 'calls', 'type_tracking'), ('shop/shop.py::function::test_report', 'shop/shop.py::function::report', 'calls', 'scope_chain'), ('shop/shop.py::function::test_report', 'shop/stock.py::function::open_shelf', 'calls', 'import')) t(src, dst, ref_type, way)""")
 def scope_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code(spark)[2]
 
 
-@register("code_graph")
+@register("code_graph", """SELECT * FROM (VALUES ('shop/models.py::class::Item', 'shop/models.py::class::Base', 'typeref'), ('shop/models.py::shop/models.py::class::Base::save', 'shop/models.py::function::store', 'calls'), ('shop/models.py::shop/models.py::class::Item::label', 'shop/models.py::function::shorten', 'calls'), ('shop/stock.py::shop/stock.py::class::Shelf::__init__', 'shop/models.py::class::Item', 'typeref'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::class::Item', 'typeref'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::shop/models.py::class::Item::label', 'calls'), ('shop/stock.py::shop/stock.py::class::Shelf::add', 'shop/models.py::shop/models.py::class::Base::save', 'calls'), ('shop/stock.py::shop/stock.py::class::Shelf::describe', 'shop/stock.py::shop/stock.py::class::Shelf::add', 'calls'), ('shop/stock.py::shop/stock.py::class::Shelf::describe', 'shop/models.py::shop/models.py::class::Item::label', 'calls'), ('shop/stock.py::function::open_shelf', 'shop/stock.py::class::Shelf', 'typeref'), ('shop/shop.py::function::run', 'shop/stock.py::function::open_shelf', 'calls'), ('shop/shop.py::function::run', 'shop/stock.py::shop/stock.py::class::Shelf::add', 'calls'), ('shop/shop.py::function::run', 'shop/shop.py::function::report', 'calls'), ('shop/shop.py::function::report', 'shop/stock.py::class::Shelf', 'typeref'), ('shop/shop.py::function::report', 'shop/stock.py::shop/stock.py::class::Shelf::describe', 'calls'), ('shop/shop.py::function::test_report', 'shop/shop.py::function::report', 'calls'), ('shop/shop.py::function::test_report', 'shop/stock.py::function::open_shelf', 'calls'), ('shop/models.py::class::Base', 'shop/models.py::function::store', 'calls'), ('shop/stock.py::class::Shelf', 'shop/models.py::class::Item', 'calls')) t(src, dst, ref_type)""")
 def code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import scope as SC
 
@@ -473,14 +506,14 @@ def code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.build_graph(entities, SC.import_table(SC.python_facts(files), entities), resolved.drop("way"))
 
 
-@register("code_diff")
+@register("code_diff", """SELECT * FROM (VALUES ('deleted', 'function', 'store', 'shop/models.py', NULL, NULL), ('modified', 'orphan', 'module-level', 'shop/models.py', NULL, true), ('modified', 'function', 'run', 'shop/shop.py', NULL, true), ('modified', 'function', 'shorten', 'shop/models.py', NULL, true), ('modified', 'function', 'test_report', 'shop/shop.py', NULL, true), ('renamed', 'function', 'summary', 'shop/shop.py', 'report', NULL)) t(change_type, entity_type, entity_name, file_path, old_entity_name, structural_change)""")
 def code_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minirepo as R_
 
     return D.diff_files(R_.changes(spark)).select("change_type", "entity_type", "entity_name", "file_path", "old_entity_name", "structural_change")
 
 
-@register("arity_mismatches")
+@register("arity_mismatches", """SELECT * FROM (VALUES ('shop/models.py::shop/models.py::class::Item::label', 'shop/models.py::function::shorten', 3, 3, 2, 'shop/models.py', 12)) t(caller_entity, callee_entity, expected_min, expected_max, actual_args, file_path, line)""")
 def arity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import verify as V
 
@@ -488,7 +521,7 @@ def arity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.arity_mismatches(edges_, entities)
 
 
-@register("broken_callers")
+@register("broken_callers", """SELECT * FROM (VALUES ('shop/models.py::shop/models.py::class::Item::label', 'shop/models.py::function::shorten', 3, 3, 2, 'shop/models.py', 12)) t(caller_entity, callee_entity, expected_min, expected_max, actual_args, file_path, line)""")
 def broken_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import verify as V
 
@@ -497,7 +530,7 @@ def broken_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.broken_callers(before, after, edges_)
 
 
-@register("contract_violations")
+@register("contract_violations", """SELECT * FROM (VALUES ('describe', 'shop/stock.py', 1, 'summary', 'shop/shop.py', 0), ('label', 'shop/models.py', 1, 'add', 'shop/stock.py', 0), ('save', 'shop/models.py', 1, 'add', 'shop/stock.py', 0), ('label', 'shop/models.py', 1, 'describe', 'shop/stock.py', 0), ('add', 'shop/stock.py', 2, 'run', 'shop/shop.py', 1), ('add', 'shop/stock.py', 2, 'describe', 'shop/stock.py', 1), ('shorten', 'shop/models.py', 3, 'label', 'shop/models.py', 2)) t(entity_name, file_path, expected_params, caller_name, caller_file, actual_args)""")
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import verify as V
 
