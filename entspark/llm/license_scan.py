@@ -13,8 +13,11 @@ Defined results: documents with a null text, an empty one or without findings
 have no row.  An expression that can't be read is ``LicenseRef-unreadable``,
 an unknown identifier stays as it is; both are of category ``unknown``.  After
 an operator in capitals any word is an identifier; at a tag's start and after
-other operators a word that isn't on the SPDX list is prose where more follows.  Texts
-of any length are read whole.  Each row of ``docs`` is scanned for itself, so
+other operators a word that isn't on the SPDX list is prose where more follows.
+An expression goes on in the next line after an operator or within parentheses;
+a comment's mark before it doesn't count.  Identifiers with a version count as
+notices outside tags, too, and what a tag's expression names counts there alone.
+Texts of any length are read whole; equal findings count once.  Each row of ``docs`` is scanned for itself, so
 repeated rows repeat and a null doc_id stays null.  Other columns are ignored;
 an empty table gives no rows.
 """
@@ -77,7 +80,14 @@ PHRASES = {
     "cc by-nc-nd 4.0": "CC-BY-NC-ND-4.0",
     "creative commons attribution 4.0": "CC-BY-4.0",
     "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0",
+    "licensed under mit": "MIT", "licensed under the mit": "MIT", "mit-licensed": "MIT", "expat license": "MIT",
+    "apache license version 2.0": "Apache-2.0", "apache 2.0 license": "Apache-2.0", "apache license v2.0": "Apache-2.0", "apache software license 2.0": "Apache-2.0",
+    "gplv3": "GPL-3.0-only", "gpl v3": "GPL-3.0-only", "gplv3+": "GPL-3.0-or-later", "gplv2": "GPL-2.0-only", "gpl v2": "GPL-2.0-only", "gplv2+": "GPL-2.0-or-later", "lgplv3": "LGPL-3.0-only", "lgplv2.1": "LGPL-2.1-only", "agplv3": "AGPL-3.0-only",
+    "zlib license": "Zlib", "the unlicense": "Unlicense",
 }
+#: Identifiers that no prose has by chance.
+PHRASES |= {k.lower(): k for k in LICENSES if any(c.isdigit() for c in k) and "-" in k and k.lower() not in PHRASES}
+PHRASES |= {"gpl-2.0": "GPL-2.0-only", "gpl-3.0": "GPL-3.0-only", "gpl-2.0+": "GPL-2.0-or-later", "gpl-3.0+": "GPL-3.0-or-later", "lgpl-2.1": "LGPL-2.1-only", "lgpl-3.0": "LGPL-3.0-only", "agpl-3.0": "AGPL-3.0-only"}
 TAG = "spdx-license-identifier:"
 UNREADABLE = "LicenseRef-unreadable"
 
@@ -188,8 +198,34 @@ def _is_identifier(low: str, rest: str) -> bool:
     return low[0].isalnum() and (low in _BY_LOWER or low in WORD_IDS or any(c in "-0123456789" for c in low) or bool(_AFTER.match(rest)))
 
 
-def _tag(line: str) -> tuple[str, int]:
-    """The longest beginning of a tag's line that can be read; prose may follow it."""
+#: A line's end within an expression: what stands before it, and a comment's marks before what follows.
+_WRAP = re.compile(r"[ \t]*\r?\n[ \t]*(?:(?:#+|//+|\*+(?!/)|;+|--+|%+|REM\b)[ \t]*)?")
+
+
+def _logical_line(text: str, begin: int) -> tuple[str, list[int]]:
+    """What follows a tag up to the end of its expression's last line, and each character's place in the text."""
+    parts, places, at, depth, inside = [], [], begin, 0, True
+    while True:
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop].rstrip("\r")
+        parts.append(line)
+        places += range(at, at + len(line))
+        depth += line.count("(") - line.count(")")
+        inside = inside and bool(_INSIDE.fullmatch(line))
+        if stop == len(text) or not (_GOES_ON.search(line.rstrip()) or depth > 0 and inside):
+            return "".join(parts), places
+        parts.append(" ")
+        places.append(stop)
+        at = _WRAP.match(text, stop - (text[stop - 1 : stop] == "\r")).end()
+
+
+_GOES_ON = re.compile(r"(?:^|\s)(?:AND|OR|WITH|and|or|with)$")
+_INSIDE = re.compile(r"[0-9A-Za-z.+:\-() \t]*")
+
+
+def _tag(line: str) -> tuple[str, int, int]:
+    """The longest beginning of a tag's line that can be read, its category and where it ends; prose may follow it."""
     expression = _EXPRESSION.match(line)
     words, begin = expression.group(1), expression.start(1)
     ends: list[int] = []
@@ -210,31 +246,36 @@ def _tag(line: str) -> tuple[str, int]:
             ends.append(m.end())
     for end in reversed(ends):
         try:
-            return evaluate(parse(words[:end].strip()))
+            return *evaluate(parse(words[:end].strip())), begin + end
         except ValueError:  # an exception after a parenthesis
             continue
-    return UNREADABLE, len(CATEGORIES) - 1
+    return UNREADABLE, len(CATEGORIES) - 1, 0
+
+
+_TAGS = re.compile(r"(?i)(?<!\w)SPDX-License-Identifier:")
 
 
 def findings(text: str) -> dict[str, int]:
     """Each license expression of a text with its category's number."""
-    low = " ".join(text.lower().split())
     found: dict[str, int] = {}
-    tagged = False
+    low = " ".join(text.lower().split())
+    if TAG in low:  # the original lines say where an expression ends; what it names isn't a notice
+        parts, last = [], 0
+        for m in _TAGS.finditer(text):
+            if m.start() < last:
+                continue
+            line, places = _logical_line(text, m.end())
+            name, category, end = _tag(line)
+            found[name] = category
+            parts += [text[last : m.start()], " ; "]
+            last = places[end - 1] + 1 if end else m.end()
+        low = " ".join("".join([*parts, text[last:]]).lower().split())
     for end, (size, name) in _automaton().iter_long(low):
         begin = end - size + 1
-        if begin and (low[begin - 1].isalnum() or low[begin - 1] == "_"):
+        if begin and (low[begin - 1].isalnum() or low[begin - 1] in "_-+"):
             continue
-        if name is None:
-            tagged = True
-        elif end + 1 == len(low) or not (low[end + 1].isalnum() or low[end + 1] == "_"):
+        if name is not None and (end + 1 == len(low) or not (low[end + 1].isalnum() or low[end + 1] in "_-+" or low[end + 1] == "." and low[end + 2 : end + 3].isdigit())):
             found[name] = LICENSES[name]
-    if tagged:  # the original lines say where an expression ends
-        for m in re.finditer(r"(?i)(?<!\w)SPDX-License-Identifier:", text):
-            stop = text.find("\n", m.end())
-            line = text[m.end() : stop if stop >= 0 else len(text)]
-            name, category = _tag(line)
-            found[name] = category
     return found
 
 
@@ -264,11 +305,11 @@ def _oracle() -> str:
     text = "regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '^', ' ') || ' '"
     for k, phrase in sorted(enumerate(PHRASES), key=lambda x: -len(x[1])):
         pattern = re.sub(r"([.+()])", r"\\\1", phrase)
-        text = f"regexp_replace({text}, '([^0-9a-z_\\x{{80}}-\\x{{10FFFF}}]){pattern}([^0-9a-z_\\x{{80}}-\\x{{10FFFF}}])', '\\1#{k}#\\2', 'g')"
+        text = f"regexp_replace({text}, '([^0-9a-z_+\\-\\x{{80}}-\\x{{10FFFF}}]){pattern}([^0-9a-z_+.\\-\\x{{80}}-\\x{{10FFFF}}]|\\.[^0-9])', '\\1#{k}#\\2', 'g')"
     names = ", ".join(f"({k}, '{n}', {LICENSES[n]})" for k, n in enumerate(PHRASES.values()))
     cases = " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CATEGORIES))
     return f"""
-WITH marked AS (SELECT doc_id, {text} AS t FROM documents WHERE text IS NOT NULL AND contains(lower(text), 'licen') OR contains(lower(text), 'cc') OR contains(lower(text), 'bsd') OR contains(lower(text), 'software') OR contains(lower(text), 'commons')),
+WITH marked AS (SELECT doc_id, {text} AS t FROM documents WHERE text IS NOT NULL),
 names(k, name, category) AS (VALUES {names}),
 found AS (SELECT DISTINCT doc_id, name, category FROM marked, names WHERE contains(t, '#' || k || '#'))
 SELECT doc_id, string_agg(name, ' AND ' ORDER BY name) AS expression, count(*) AS n_licenses, CASE max(category) {cases} END AS category FROM found GROUP BY doc_id

@@ -84,3 +84,40 @@ def test_table(spark, docs, clashing, no_docs):
     out = rows(L.scan_licenses(docs.unionByName(spark.createDataFrame(more, SCHEMA))))
     assert out == sorted([(70, "Apache-2.0 AND CC-BY-NC-4.0", 2, "restricted"), (71, "MIT", 1, "permissive"), (71, "MIT", 1, "permissive"), (None, "ISC", 1, "permissive")], key=repr)
     assert rows(L.scan_licenses(docs)) == [] and rows(L.scan_licenses(clashing)) == [] and rows(L.scan_licenses(no_docs)) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: MIT OR\n  Apache-2.0\ncode", {"MIT OR Apache-2.0": 1}),
+        ("# SPDX-License-Identifier: MIT AND\n# GPL-3.0-only\n# other", {"MIT AND GPL-3.0-only": 3}),
+        (" * SPDX-License-Identifier: (MIT\r\n *   OR Apache-2.0) AND\r\n *   Foo-1\r\n */", {"(MIT OR Apache-2.0) AND Foo-1": 5}),
+        ("SPDX-License-Identifier: MIT\nOR not", {"MIT": 1}),
+        ("SPDX-License-Identifier: GPL-3.0-only OR MIT", {"GPL-3.0-only OR MIT": 1}),
+        ("under CC-BY-NC-4.0.", {"CC-BY-NC-4.0": 4}), ("It is GPLv3.", {"GPL-3.0-only": 3}), ("GPL-3.0", {"GPL-3.0-only": 3}), ("Licensed under MIT.", {"MIT": 1}), ("Licensed under the MIT license", {"MIT": 1}),
+        ("GPL-3.0.1 and xgpl-3.0 and mpl-2.0-like", {}), ("Apache-2.0, MPL-2.0; LGPL-3.0", {"Apache-2.0": 1, "MPL-2.0": 2, "LGPL-3.0-only": 2}),
+        ("SPDX-License-Identifier: MIT AND Proprietary", {"MIT AND Proprietary": 5}), ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND Foo", {"(MIT OR Apache-2.0) AND Foo": 5}), ("SPDX-License-Identifier: MIT OR Beerware", {"MIT OR Beerware": 1}),
+    ],
+)
+def test_wrapped_tags_and_versions(text, want):
+    assert L.findings(text) == want
+
+
+def test_long_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    L.findings("SPDX-License-Identifier: " + "(MIT OR\n" * 20_000)
+    L.findings("SPDX-License-Identifier: MIT\n" * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_phrases_like_the_sql(spark):
+    import duckdb
+
+    texts = [f"before {phrase.upper()}{end}" for phrase in L.PHRASES for end in (" after", ".", ", and", "-x", "1", ".5 b")] + [" ".join(list(L.PHRASES)[k::7]) for k in range(7)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    frame = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], SCHEMA)
+    assert rows(L.scan_licenses(frame)) == sorted(db.sql(f"SELECT doc_id, expression, n_licenses, category FROM ({L.ORACLE})").fetchall(), key=repr)
