@@ -52,3 +52,32 @@ def save(frame: DataFrame, path: str, partition: str = "file_bucket", buckets: i
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("file_bucket")
+
+
+def keep(path: str, manifest: DataFrame, entities: DataFrame, edges: DataFrame) -> None:
+    """Writes a snapshot under ``path``: a new version each time, which counts once its manifest, the last, is there."""
+    spark = entities.sparkSession
+    version = f"{path}/{max(_versions(spark, path), default=0) + 1:08d}"
+    entities.write.parquet(f"{version}/entities")
+    edges.write.parquet(f"{version}/edges")
+    manifest.write.parquet(f"{version}/manifest")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The snapshots that are whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [int(p.getName()) for p in there if p.getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "manifest/_SUCCESS"))]
+
+
+def cached(spark: SparkSession, path: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(manifest, entities, edges) of the latest snapshot, of all files or of ``files`` (file_path) and the edges that leave them; None without one."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None
+    manifest, entities, edges = (spark.read.parquet(f"{path}/{max(versions):08d}/{x}") for x in ("manifest", "entities", "edges"))
+    if files is not None:
+        manifest, entities = manifest.join(files, "file_path", "left_semi"), entities.join(files, "file_path", "left_semi")
+        edges = edges.join(entities.select(F.col("id").alias("src")), "src", "left_semi")
+    return manifest, entities, edges

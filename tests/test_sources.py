@@ -84,3 +84,60 @@ def test_two_files(spark, tmp_path):
     (tmp_path / "a").write_text("x")
     (tmp_path / "b").write_text("y")
     assert tuple(files.compare_files(spark, str(tmp_path / "a"), str(tmp_path / "b"), "n", "n").first())[3:] == ("x", "y")
+
+
+def test_entities_that_move_between_files(spark, tmp_path):
+    sh = lambda *a: subprocess.run(["git", "-C", tmp_path, "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)
+    f = "def walker(x):\n    return x + 1\n"
+    sh("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text(f + "\n\ndef other():\n    return 2\n")
+    sh("add", "-A")
+    sh("commit", "-qm", "one")
+    (tmp_path / "a.py").write_text("def other():\n    return 2\n")
+    (tmp_path / "b.py").write_text(f)
+    (tmp_path / ".entspark").mkdir()
+    (tmp_path / ".entspark" / "x.py").write_text(f)
+    sh("add", "-A", "-f")
+    sh("commit", "-qm", "two")
+    p = Project(spark, str(tmp_path), ["py"])
+    assert sorted((r.kind, r.to_path) for r in p.log("walker", "a.py").collect()) == [("added", None), ("moved", "b.py")]
+    assert {r.entity_name for r in p.hotspots(5).collect()} >= {"walker"} and {r.file_path for r in p.hotspots(5, "b.py").collect()} == {"b.py"}
+    assert {r.path for r in git.read_tree(spark, str(tmp_path), "HEAD~1").collect()} == {"a.py"}
+    assert [r[0] for r in git.changed_files(str(tmp_path), git.Scope("commit", "HEAD"))] == ["a.py", "b.py"]
+
+
+def test_cache(spark, repo, tmp_path):
+    from entspark.operators import store as ST
+
+    cache = str(tmp_path / "cache")
+    plain = Project(spark, repo, ["py"])
+    want = lambda p: (sorted(map(repr, p.entities.select("id", "content_hash").collect())), sorted(map(repr, p.edges.collect())))
+    assert want(Project(spark, repo, ["py"], cache=cache)) == want(plain)
+    assert want(Project(spark, repo, ["py"], cache=cache)) == want(plain) and ST._versions(spark, cache) == [1]
+    new = f"{repo}/shop/extra.py"
+    try:
+        with open(new, "w") as f:
+            f.write("from stock import open_shelf\n\n\ndef more():\n    return open_shelf()\n")
+        assert want(Project(spark, repo, ["py"], cache=cache)) == want(Project(spark, repo, ["py"])) and ST._versions(spark, cache) == [1, 2]
+        one = spark.createDataFrame([("shop/extra.py",)], "file_path string")
+        manifest, entities, edges = ST.cached(spark, cache, one)
+        assert manifest.count() == 1 and {r.name for r in entities.collect()} == {"more"} and edges.count() == 1
+    finally:
+        import os
+
+        os.remove(new)
+
+
+def test_command_line(spark, repo, capsys, monkeypatch):
+    import io
+
+    from entspark.__main__ import main
+
+    lines = lambda: [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    at = ["-C", repo, "--ext", "py"]
+    assert main([*at, "verify"], spark) == 1 and lines()[0]["actual_args"] == 2
+    assert main([*at, "impact", "shorten"], spark) == 0 and {x["name"] for x in lines()} == {"label", "add", "describe"}
+    assert main(["-C", repo, "diff", "--format", "json"], spark) == 0 and "run" in {x["entity_name"] for x in lines()}
+    assert main([*at, "search", "shelf"], spark) == 0 and lines()
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps([{"filePath": "a.py", "status": "added", "afterContent": "def f():\n    pass\n"}])))
+    assert main(["-C", repo, "diff", "--stdin", "--format", "json"], spark) == 0 and [x["entity_name"] for x in lines()] == ["f"]
