@@ -12,8 +12,11 @@ A document's size is its characters plus one, so no source is empty.
 
 Defined results: a null source is a source of its own.  A null text counts as
 an empty one and stays null.  Rows with one doc_id get one count each, so
-repeated rows repeat alike; a null doc_id draws by the MD5 of its text.  An
-empty table gives an empty result.  All columns of ``docs`` stay; the added
+repeated rows repeat alike; a null doc_id draws by the MD5 of its text.  A text
+of any length is a row like any other.  An empty table gives an empty result.
+The order is that of ``shuffle_key`` within each of spark.sql.shuffle.partitions
+parts, which are hashed by it: other settings give another order of the same
+rows.  Ties of key and copy, which only repeated rows have, stand in no order.  All columns of ``docs`` stay; the added
 ``copy`` (1, 2, ...) and ``shuffle_key`` replace columns of the same names.
 """
 
