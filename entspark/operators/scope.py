@@ -2,7 +2,10 @@
 
 One pass over the files gives facts: imports, what functions return, and the
 references of every entity with what is known locally of the receiver.  They
-are resolved in joins, the way of least distance first.
+are resolved in joins, the way of least distance first.  An attribute that holds
+an unannotated parameter of the constructor has the type that calls of the
+constructor, in any file, pass there: the one of the least file, then of the
+least entity, where they differ.
 """
 
 from __future__ import annotations
@@ -70,17 +73,21 @@ def facts(text: str, path: str) -> list[tuple]:
             out += [("import", path, None, a.name, a.asname or a.name, stem, 0) for a in n.names]
         elif isinstance(n, ast.Import):
             out += [("import", path, None, "", a.asname or a.name.split(".")[0], a.name.rsplit(".", 1)[-1], 0) for a in n.names]
+        elif isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and _name(n.func):
+            out += _arguments(n, path)
 
     def visit(node: ast.AST, parent: str | None, cls: str | None, attrs: dict[str, tuple[str, str]]) -> None:
         for n in getattr(node, "body", []):
             if isinstance(n, ast.ClassDef):
                 own = f"{path}::{parent or 'class'}::{n.name}"
                 inside: dict[str, tuple[str, str]] = {}
+                passed: dict[str, tuple[str, int]] = {}
                 for init in n.body:
                     if isinstance(init, ast.AnnAssign) and isinstance(init.target, ast.Name) and (t := _name(init.annotation)):
                         inside[init.target.id] = ("type", t)
                     if isinstance(init, ast.FunctionDef) and init.name == "__init__":
                         known = _params(init)
+                        places = _places(init)
                         for s in ast.walk(init):
                             if isinstance(s, ast.Assign | ast.AnnAssign):
                                 for target in s.targets if isinstance(s, ast.Assign) else [s.target]:
@@ -88,6 +95,12 @@ def facts(text: str, path: str) -> list[tuple]:
                                         t = ("type", a) if isinstance(s, ast.AnnAssign) and (a := _name(s.annotation)) else s.value and _value(s.value, known)
                                         if t:
                                             inside[target.attr] = t
+                                        elif isinstance(s.value, ast.Name) and s.value.id in places:
+                                            passed[target.attr] = (s.value.id, places[s.value.id])
+                for attr, (param, place) in passed.items():
+                    if attr not in inside:
+                        out.append(("param", path, own, param, f"{own}.{attr}", "", place))
+                        inside[attr] = ("attr", f"{own}.{attr}")
                 for base in n.bases:
                     if (t := _name(base)) is not None:
                         out.append(("ref", path, own, t, None, "name", 0))
@@ -133,6 +146,19 @@ def facts(text: str, path: str) -> list[tuple]:
     return out
 
 
+def _arguments(call: ast.Call, path: str) -> list[tuple]:
+    """Types that a call of a constructor passes: by place, or by a keyword (in ``entity_id``)."""
+    plain = next((k for k, a in enumerate(call.args) if isinstance(a, ast.Starred)), len(call.args))
+    given = [(None, k, a) for k, a in enumerate(call.args[:plain])] + [(a.arg, -1, a.value) for a in call.keywords if a.arg]
+    return [("argument", path, keyword, call.func.id, t[1], t[0], k) for keyword, k, a in given if (t := _value(a, {}))]
+
+
+def _places(init: ast.FunctionDef) -> dict[str, int]:
+    """Unannotated parameters and their places after ``self``, -1 for those passed by keyword alone."""
+    a = init.args
+    return {p.arg: k for k, p in enumerate([*a.posonlyargs, *a.args][1:]) if p.annotation is None} | {p.arg: -1 for p in a.kwonlyargs if p.annotation is None}
+
+
 def _params(f: ast.AST) -> dict[str, tuple[str, str]]:
     a = f.args
     return {p.arg: ("type", t) for p in (*a.posonlyargs, *a.args, *a.kwonlyargs) if (t := _name(p.annotation))}
@@ -184,7 +210,13 @@ def resolve(known: DataFrame, entities: DataFrame) -> DataFrame:
     bases = place(known.filter("kind = 'base'").select("entity_id", "file_path", "name")).select(F.col("entity_id").alias("class_id"), F.col("target").alias("base_id"))
     above = refs.filter("how = 'super'").select("key", F.col("receiver").alias("class_id")).join(bases, "class_id").select("key", F.col("base_id").alias("class_id"), F.lit("scope_chain").alias("way"))
     members = entities.join(entities.filter(F.col("entity_type").isin(*SCOPE_CLASS_TYPES)).select(F.col("id").alias("class_id")), F.col("parent_id") == F.col("class_id")).select("class_id", F.col("name").alias("member"), F.col("id").alias("dst"))
-    receivers = classes.unionByName(own).unionByName(above).withColumn("distance", F.lit(0))
+    # attributes that hold what calls of the constructor pass
+    given = known.filter("kind = 'argument'").join(returns, "receiver", "left").select("file_path", "name", F.when(F.col("how") == "call", F.col("returned")).otherwise(F.col("receiver")).alias("given"), F.coalesce("entity_id", F.col("seq").cast("string")).alias("slot"))
+    built = place(given.filter("given IS NOT NULL").distinct()).select("file_path", F.col("given").alias("name"), "slot", F.col("target").alias("class_id"))
+    params = known.filter("kind = 'param'").select(F.col("entity_id").alias("class_id"), "receiver", F.explode(F.array("name", F.col("seq").cast("string"))).alias("slot")).filter("slot <> '-1'")
+    held = place(built.join(params, ["class_id", "slot"]).select("receiver", "file_path", "name")).groupBy("receiver").agg(F.min(F.struct("file_path", "target"))["target"].alias("class_id"))
+    passed = refs.filter("how = 'attr'").join(held, "receiver").select("key", "class_id", F.lit("type_tracking").alias("way"))
+    receivers = classes.unionByName(own).unionByName(above).unionByName(passed).withColumn("distance", F.lit(0))
     receivers = cut(receivers)
     inherited = receivers.join(bases, "class_id").select("key", F.col("base_id").alias("class_id"), "way", F.lit(1).alias("distance"))
     methods = cut(receivers.unionByName(inherited)).withColumn("member", F.col("key.name")).join(members, ["class_id", "member"])

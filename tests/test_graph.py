@@ -1,6 +1,8 @@
 from entspark.operators import graph as G
 from entspark.operators import history as H
+from entspark.operators import scope as SC
 from entspark.operators import store as ST
+from entspark.operators.extract import extract_files
 from entspark.plans import minirepo
 from entspark.plans import queries as Q
 
@@ -16,6 +18,22 @@ def test_scope_edges(spark):
     assert got >= set(minirepo.EXPECTED) and not got & set(minirepo.FORBIDDEN)
 
 
+def test_types_of_constructor_parameters(spark):
+    """Attributes that hold an unannotated parameter have the type that calls pass, by place or keyword, in any file."""
+    a = "class Db:\n    def get(self):\n        return 1\n\n\nclass Log:\n    def put(self):\n        return 2\n\n    def get(self):\n        return 3\n\n\ndef connect() -> Db:\n    return Db()\n"
+    b = (
+        "from a import Db, Log\n\n\nclass Repo:\n    def __init__(self, first, db, *, log=None, other=None):\n        self.db = db\n        self.log = log\n        self.other = other\n        self.first = first\n\n"
+        "    def load(self):\n        return self.db.get()\n\n    def note(self):\n        return self.log.put()\n\n    def none(self):\n        return self.other.get()\n\n    def one(self):\n        return self.first.get()\n"
+    )
+    c = "from a import connect, Log\nfrom b import Repo\n\n\ndef main(x):\n    return Repo(*x), Repo(x, connect(), log=Log())\n"
+    files = spark.createDataFrame([("a.py", a), ("b.py", b), ("c.py", c), ("d.py", "Repo(Undefined(), Repo, log=3)\n"), ("e.py", "")], "path string, content string")
+    found = extract_files(files)
+    got = {(r.src, r.dst) for r in SC.resolve(SC.python_facts(files), found).collect() if r.src.startswith("b.py")}
+    ids = {r.id for r in found.collect()}
+    assert {dst for _, dst in got} <= ids
+    assert {(s.split("::")[-1], d.split("::")[-2], d.split("::")[-1]) for s, d in got} == {("load", "Db", "get"), ("note", "Log", "put")}
+
+
 def test_arity(spark):
     assert [(r.caller_entity.split("::")[-1], r.expected_min, r.actual_args, r.line) for r in Q.arity_mismatches(spark, "").collect()] == [("label", 3, 2, 12)]
     assert [r.callee_entity.split("::")[-1] for r in Q.broken_callers(spark, "").collect()] == ["shorten"]
