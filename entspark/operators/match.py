@@ -11,7 +11,13 @@ they come from, or a constant for snapshots that are compared as a whole.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +28,10 @@ from ..session import cut
 SIMILARITY = 0.8
 #: Candidates up to this number are chosen from in one group; more in the connected parts of their graph, with the same result.
 ONE_GROUP = 1_000_000
+#: Sets of one band of sizes that a task compares at once with as many others; cells (pairs of sets) that are compared in one step.
+PART_SETS, CELLS = 16_384, 1 << 17
+#: Cells that a task should compare; up to so many ids are broadcast.
+TASK_CELLS, BROADCAST_IDS = 200_000_000, 200_000
 
 
 def latest_occurrence(entities: DataFrame) -> DataFrame:
@@ -55,38 +65,6 @@ def match_by_key(before: DataFrame, after: DataFrame, key: str, last_first: bool
     return b.join(a, F.expr(f"scope = _scope AND b_{key} = a_{key} AND b__rank = a__rank")).drop("_scope", "b__rank", "a__rank")
 
 
-def similar_pairs(before: DataFrame, after: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(scope, entity_type, b_id, a_id, b_ordinal, a_ordinal, inter, size_union) of pairs of one type at the threshold.
-
-    Exact prefix filtering: with a common order of tokens, rare ones first, two
-    sets at Jaccard t share one of the first ``n - ceil(t n) + 1`` tokens of
-    either.  So candidates meet in an equi-join on rare tokens.
-    """
-
-    def sets(side: DataFrame) -> DataFrame:
-        return side.select("scope", "entity_type", "id", "ordinal", T.token_set("content").alias("tokens")).withColumn("n", F.size("tokens"))
-
-    b, a = cut(sets(before)), cut(sets(after))
-    every = b.select(F.explode("tokens").alias("token")).unionAll(a.select(F.explode("tokens").alias("token")))
-    df = every.groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(side: DataFrame) -> DataFrame:
-        ranked = side.select("scope", "entity_type", "id", "n", F.explode("tokens").alias("token")).join(df, "token")
-        w = W.partitionBy("scope", "entity_type", "id").orderBy("df", "token")
-        keep = F.row_number().over(w) <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-        return ranked.withColumn("keep", keep).filter("keep AND df > 1").select("scope", "entity_type", "id", "n", "token")
-
-    pb, pa = prefixes(b), prefixes(a)
-    named = lambda side, p: side.select("scope", "entity_type", F.col("id").alias(p + "id"), F.col("n").alias(p + "n"), "token")
-    candidates = named(pb, "b_").join(named(pa, "a_"), ["scope", "entity_type", "token"])
-    candidates = candidates.filter(T.size_ratio_at_least("b_n", "a_n", threshold)).select("scope", "entity_type", "b_id", "a_id").distinct()
-    bt = b.select("scope", F.col("id").alias("b_id"), F.col("tokens").alias("bt"), F.col("ordinal").alias("b_ordinal"))
-    at = a.select("scope", F.col("id").alias("a_id"), F.col("tokens").alias("at"), F.col("ordinal").alias("a_ordinal"))
-    full = candidates.join(bt, ["scope", "b_id"]).join(at, ["scope", "a_id"])
-    scored = full.withColumn("inter", F.size(F.array_intersect("bt", "at"))).withColumn("size_union", F.size("bt") + F.size("at") - F.col("inter"))
-    return scored.filter(F.col("inter") >= F.lit(threshold) * F.col("size_union") - 1e-9).select("scope", "entity_type", "b_id", "a_id", "b_ordinal", "a_ordinal", "inter", "size_union")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) of all vertices of the undirected edges (u, v), the root the least: alternating large-star and small-star until nothing changes.
 
@@ -115,62 +93,230 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+_SKETCH = "kind string, side int, id {id}, n int, shape long, map binary"
+
+
+def _hashed(content: str) -> Column:
+    """The sorted 64-bit hashes of a text's words."""
+    return F.array_sort(F.array_distinct(F.transform(T.tokens(content), lambda w: F.xxhash64(w))))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' hashes become a bitmap of two to four bits a word, a power of two of 64-bit words."""
+    for batch in batches:
+        *rest, arrays = batch.columns
+        values, ends = arrays.values.to_numpy(zero_copy_only=False).view(np.uint64), arrays.offsets.to_numpy()
+        maps = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            words = 1 << max(0, math.ceil(math.log2((b - a) / 32)))
+            bit = (values[a:b] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(64 * words)
+            out = np.zeros(words, np.uint64)
+            np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            maps.append(out.tobytes())
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(maps, pa.binary())], names=["kind", "side", "id", "n", "shape", "map"])
+
+
+def _folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps in the width of the narrowest: a bit's place there is its place modulo that width."""
+    words = min(map(len, maps)) // 8
+    out = np.empty((len(maps), words), np.uint64)
+    for k, m in enumerate(maps):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def _may_be_similar(rows: list[tuple], t: float) -> list[tuple[int, int]]:
+    """Of a block's rows (role, side, shape, n, map), pairs of shapes whose bitmaps don't rule out the threshold; of different sides, if there are sides, that of side 0 first."""
+    role, side, shape, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    maps = _folded([r[4] for r in rows])
+    own = not role.any()
+    left, right = (np.flatnonzero(role == k) for k in ((0, 0) if own else (0, 1)))
+    left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+    if not len(left) or not len(right):
+        return []
+    count, sided = np.bitwise_count(maps).sum(1, dtype=np.int64), bool((side >= 0).any())
+    share, half = t / (1 + t), max(1, maps.shape[1] // 2)
+    a, b = np.ascontiguousarray(maps[left].T), np.ascontiguousarray(~maps[right].T)
+    na, nb = n[left], n[right]
+    room, less = (na - share * na + 1e-3 + 1e-6 * na).astype(np.float32), (share * nb - 1e-6 * nb).astype(np.float32)
+    found: list[tuple[int, int]] = []
+    step = max(1, CELLS // len(right))
+    for i in range(0, len(left), step):
+        j = min(i + step, len(left))
+        lo, hi = int(np.searchsorted(nb, t * na[i] - 1e-6)), int(np.searchsorted(nb, na[j - 1] / t + 1e-6, side="right"))
+        if own:
+            lo = max(lo, i + 1)
+        if lo >= hi:
+            continue
+        missing = np.zeros((j - i, hi - lo), np.uint32)
+        for w in range(half):
+            missing += np.bitwise_count(a[w, i:j, None] & b[w, None, lo:hi])
+        x, y = np.nonzero(missing <= room[i:j, None] - less[None, lo:hi])
+        x, y = x + i, y + lo
+        keep = x < y if own else np.ones(len(x), bool)
+        if sided:
+            keep &= side[left[x]] != side[right[y]]
+        x, y = x[keep], y[keep]
+        for k in range(0, len(x), CELLS):
+            p, q = left[x[k : k + CELLS]], right[y[k : k + CELLS]]
+            lost = np.bitwise_count(maps[p] & ~maps[q]).sum(1, dtype=np.int64)
+            most = np.minimum(n[p] - lost, n[q] - (lost + count[q] - count[p]))
+            fits = most >= share * (n[p] + n[q]) - 1e-6
+            p, q = p[fits], q[fits]
+            if sided:
+                p, q = np.where(side[p] == 0, p, q), np.where(side[p] == 0, q, p)
+            found += zip(shape[p].tolist(), shape[q].tolist())
+    return found
+
+
+def _blocks(t: float):
+    """Rows sorted by block -> (kind, x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def solved():
+            pairs = _may_be_similar(rows, t) if len(rows) > 1 else []
+            for k in range(0, len(pairs), 100_000):
+                part = pairs[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part), pa.string()), pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["kind", "x", "y"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:5] != key:
+                    yield from solved()
+                    key, rows = row[:5], []
+                rows.append(row[5:])
+        yield from solved()
+
+    return run
+
+
+def _placed(classes: DataFrame, t: float) -> tuple[DataFrame, int]:
+    """Each class in all blocks that it is compared in, and how many tasks these are worth.
+
+    Sets at the threshold are of one band of sizes (of ratio 1/t) or of
+    neighbouring ones; bands are cut in parts by hash, and a block is two parts.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(1 / t)) + 1e-9).cast("int") if t < 1 else F.col("n")
+    sets = classes.withColumn("band", band)
+    bands = cut(sets.groupBy("kind", "band").agg(F.count("*").alias("m"), F.ceil(F.count("*") / PART_SETS).cast("int").alias("g")))
+    w = W.partitionBy("kind").orderBy("band")
+    at = lambda f, d, c: F.coalesce(F.when(f("band").over(w) == F.col("band") + d, f(c).over(w)), F.lit(0))
+    sized = cut(bands.select("kind", "band", "m", "g", at(F.lead, 1, "g").alias("up"), at(F.lag, -1, "g").alias("down"), at(F.lead, 1, "m").alias("m_up")))
+    cells = sized.agg(F.sum(F.col("m").cast("double") * (F.col("m") / 2 + F.col("m_up")))).first()[0] or 0
+    me = F.pmod("shape", "g").cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda b1, g1, b2, g2, role: F.struct(b1.alias("b1"), g1.alias("g1"), b2.alias("b2"), g2.alias("g2"), F.lit(role).alias("role"))
+    b, own = F.col("band"), F.col("me")
+    within = F.transform(upto("g"), lambda x: F.when(x >= own, block(b, own, b, x, 0)).otherwise(block(b, x, b, own, 1)))
+    every = F.concat(within, F.transform(upto("up"), lambda x: block(b, own, b + 1, x, 0)), F.transform(upto("down"), lambda x: block(b - 1, x, b, own, 1)))
+    placed = sets.join(sized, ["kind", "band"]).withColumn("me", me).select("kind", F.explode(every).alias("at"), "side", "shape", "n", "map").select("kind", "at.*", "side", "shape", "n", "map")
+    return placed, math.ceil(cells / TASK_CELLS)
+
+
+def similar_classes(entities: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (kind, side, id, n, shape) of classes of equal word sets, and pairs (kind, x, y, inter, size_union) of shapes at the threshold.
+
+    ``entities`` has (kind, side, id, content); kinds don't meet.  Sides 0 and 1
+    meet each other only, -1 itself: there a pair is two different shapes.  Of
+    each set a bitmap is kept, which bounds the size of an overlap from above, so
+    only bitmaps are sent where sets meet.  The word sets themselves are made
+    again for the few classes that are left, and intersected.  A word is its
+    64-bit hash, and so is a set (its shape).
+    """
+    spark = entities.sparkSession
+    named = entities.filter("kind IS NOT NULL AND content IS NOT NULL").select("kind", F.col("side").cast("int").alias("side"), "id", _hashed("content").alias("words"))
+    columns = ["kind", "side", "id", F.size("words").alias("n"), F.xxhash64("words").alias("shape"), "words"]
+    sketches = cut(named.filter("size(words) > 0").select(*columns).mapInArrow(_sketch, _SKETCH.format(id=dict(entities.dtypes)["id"])))
+    classes = cut(sketches.groupBy("kind", "side", "shape").agg(F.min("n").alias("n"), F.min("map").alias("map"), F.min("id").alias("id")))
+    placed, tasks = _placed(classes, threshold)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 10_000))
+    keys = ["kind", "b1", "g1", "b2", "g2"]
+    met = cut(placed.select(*keys, "role", "side", "shape", "n", "map").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(threshold), "kind string, x long, y long"))
+    # one member has the words of a class
+    ends = met.select("kind", F.col("x").alias("shape")).unionByName(met.select("kind", F.col("y").alias("shape"))).distinct()
+    needed = cut(classes.join(ends, ["kind", "shape"]).groupBy("kind", "shape").agg(F.min(F.struct("side", "id")).alias("m")).select("kind", "m.side", "m.id", "shape"))
+    few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    words = cut(named.join(F.broadcast(needed) if few else needed, ["kind", "side", "id"]).groupBy("kind", "shape").agg(F.min("words").alias("words")))
+    of = lambda p: words.select("kind", F.col("shape").alias(p), F.col("words").alias("w" + p))
+    both = met.join(of("x"), ["kind", "x"]).join(of("y"), ["kind", "y"]).withColumn("inter", F.size(F.array_intersect("wx", "wy"))).withColumn("size_union", F.size("wx") + F.size("wy") - F.col("inter"))
+    pairs = both.filter(F.col("inter") >= F.lit(threshold) * F.col("size_union") - 1e-9).select("kind", "x", "y", "inter", "size_union")
+    return sketches.drop("map"), pairs
+
+
 def near_sets(entities: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(entity_type, a, b, inter, size_union) of pairs a < b of entities of one type with similar token sets.
 
     ``entities`` has (entity_type, id, content), the id a number.  Entities of
     equal sets are one class, for which its least id stands: there is a row of it
     with each other member, and of classes with each other, so a group of copies
-    has as many rows as members.  Words are their 64-bit hashes.  Pairs are put
-    in order before they meet.
+    has as many rows as members.
     """
-    hashed = F.array_sort(F.array_distinct(F.transform(T.tokens("content"), lambda w: F.xxhash64(w))))
-    sets = entities.select("entity_type", "id", hashed.alias("tokens"))
-    shape = F.xxhash64("tokens")
-    sets = cut(sets.withColumn("n", F.size("tokens")).filter("n > 0").withColumn("shape", shape))
-    classes = sets.groupBy("entity_type", "shape", "n").agg(F.min("id").alias("a"))
-    copies = sets.join(classes, ["entity_type", "shape", "n"]).filter("id <> a").select("entity_type", "a", F.col("id").alias("b"), F.col("n").alias("inter"), F.col("n").alias("size_union"))
-    one = sets.join(classes.select("entity_type", F.col("a").alias("id")), ["entity_type", "id"]).select("entity_type", "id", "n", "tokens")
-    words = one.select("entity_type", "id", "n", F.explode("tokens").alias("token"))
-    df = words.groupBy("entity_type", "token").agg(F.count("*").alias("df")).filter("df > 1")
-    # the rarest first; words of one set alone can't be shared and come before all others
-    ranked = words.join(df, ["entity_type", "token"]).groupBy("entity_type", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    places = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    short = cut(ranked.filter(places > 0).select("entity_type", "id", "n", F.explode(F.slice("shared", F.lit(1), places.cast("int"))["token"]).alias("token")))
-    named = lambda p: short.select("entity_type", "token", F.col("id").alias(p), F.col("n").alias(p + "_n"))
-    met = named("a").join(named("b"), ["entity_type", "token"]).filter("a < b").filter(T.size_ratio_at_least("a_n", "b_n", threshold)).select("entity_type", "a", "b").distinct()
-    own = lambda p: one.select("entity_type", F.col("id").alias(p), F.col("tokens").alias("t" + p), F.col("n").alias("n" + p))
-    full = met.join(own("a"), ["entity_type", "a"]).join(own("b"), ["entity_type", "b"]).withColumn("inter", F.size(F.array_intersect("ta", "tb")))
-    pairs = full.withColumn("size_union", F.col("na") + F.col("nb") - F.col("inter")).filter(F.col("inter") >= F.lit(threshold) * F.col("size_union") - 1e-9)
-    return pairs.select("entity_type", "a", "b", "inter", "size_union").unionByName(copies)
-
-
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    pairs = pairs.assign(score=pairs["inter"] / pairs["size_union"]).sort_values(["a_ordinal", "a_id", "score", "b_ordinal", "b_id"], ascending=[True, True, False, True, True])
-    taken: set[str] = set()
+    members, pairs = similar_classes(entities.select(F.col("entity_type").alias("kind"), F.lit(-1).alias("side"), "id", "content"), threshold)
+    classes = members.groupBy("kind", "shape").agg(F.min("id").alias("a"))
+    copies = members.join(classes, ["kind", "shape"]).filter("id <> a").select(F.col("kind").alias("entity_type"), "a", F.col("id").alias("b"), F.col("n").alias("inter"), F.col("n").alias("size_union"))
+    of = lambda p: classes.select("kind", F.col("shape").alias(p), F.col("a").alias("id_" + p))
+    met = pairs.join(of("x"), ["kind", "x"]).join(of("y"), ["kind", "y"])
+    return met.select(F.col("kind").alias("entity_type"), F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "inter", "size_union").unionByName(copies)
+
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a group: pairs of classes (x before, y after, score), and members (side, shape, ordinal, id)."""
+    pairs, members = rows[rows["side"] < 0], rows[rows["side"] >= 0].sort_values(["ordinal", "id"])
+    near: dict = defaultdict(list)
+    for kind, x, y, score in zip(pairs["kind"], pairs["x"], pairs["y"], pairs["score"]):
+        near[kind, int(y)].append((score, (kind, int(x))))
+    for options in near.values():
+        options.sort(key=lambda o: -o[0])
+    free: dict = defaultdict(deque)
+    before = members["side"] == 0
+    for kind, x, ordinal, i in zip(*(members.loc[before, c] for c in ("kind", "x", "ordinal", "id"))):
+        free[kind, int(x)].append((ordinal, i))
     out = []
-    last = None
-    for scope, b, a in zip(pairs["scope"], pairs["b_id"], pairs["a_id"]):
-        if a != last and b not in taken:
-            taken.add(b)
-            out.append((scope, b, a))
-            last = a
-    return pd.DataFrame(out, columns=["scope", "b_id", "a_id"])
+    for kind, y, i in zip(*(members.loc[~before, c] for c in ("kind", "x", "id"))):
+        options, best, at = near[kind, int(y)], None, None
+        spent = False
+        for score, x in options:
+            if best is not None and score < at:
+                break
+            if not free[x]:
+                spent = True
+            elif best is None or free[x][0] < free[best][0]:
+                best, at = x, score
+        if best is not None:
+            out.append((kind, free[best].popleft()[1], i))
+        if spent:
+            options[:] = [o for o in options if free[o[1]]]
+    return pd.DataFrame(out, columns=["kind", "b_id", "a_id"])
 
 
 def match_by_similarity(before: DataFrame, after: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One-to-one pairs: each after entity in order takes the most similar before entity still free, the earlier of equal ones."""
-    pairs = cut(similar_pairs(before, after, threshold))
-    keys = ["scope", "entity_type"]
-    if pairs.limit(ONE_GROUP + 1).count() > ONE_GROUP:
-        # entities of different connected parts can't take each other's partners
-        vertex = lambda p: F.xxhash64(F.lit(p), "scope", "entity_type", p + "id")
-        parts = components(pairs.select(vertex("b_").alias("u"), vertex("a_").alias("v")))
-        pairs = pairs.withColumn("u", vertex("b_")).join(parts, "u")
+    """One-to-one pairs: each after entity in order takes the most similar before entity still free, the earlier of equal ones.
+
+    Entities of equal word sets are one class with a queue of members, so copies aren't paired all with all.
+    """
+    kind = F.concat(F.length("scope").cast("string"), F.lit(":"), "scope", "entity_type")
+    named = lambda side, k: side.select(kind.alias("kind"), F.lit(k).alias("side"), "id", "content")
+    members, pairs = similar_classes(named(before, 0).unionByName(named(after, 1)), threshold)
+    pairs = cut(pairs.select("kind", "x", "y", (F.col("inter") / F.col("size_union")).alias("score")))
+    ends = pairs.select("kind", F.lit(0).alias("side"), F.col("x").alias("shape")).unionByName(pairs.select("kind", F.lit(1).alias("side"), F.col("y").alias("shape"))).distinct()
+    orders = before.select(kind.alias("kind"), F.lit(0).alias("side"), "id", "ordinal").unionByName(after.select(kind.alias("kind"), F.lit(1).alias("side"), "id", "ordinal"))
+    linked = members.join(ends, ["kind", "side", "shape"]).select("kind", "side", "id", "shape").join(orders, ["kind", "side", "id"])
+    # nulls would make pandas read numbers as doubles
+    fill = lambda x, t, c: F.lit(x).cast(t).alias(c)
+    id_type, order_type = dict(before.dtypes)["id"], dict(orders.dtypes)["ordinal"]
+    rows = pairs.select("kind", F.lit(-1).alias("side"), "x", "y", "score", fill(0, order_type, "ordinal"), fill(None, id_type, "id")).unionByName(linked.select("kind", "side", F.col("shape").alias("x"), fill(0, "long", "y"), fill(0, "double", "score"), "ordinal", "id"))
+    rows, keys = cut(rows), ["kind"]
+    if rows.limit(ONE_GROUP + 1).count() > ONE_GROUP:
+        # classes of different connected parts can't take each other's partners
+        vertex = lambda side, c: F.xxhash64(F.lit("b_") if side == 0 else F.lit("a_"), "kind", c)
+        parts = components(pairs.select(vertex(0, "x").alias("u"), vertex(1, "y").alias("v")))
+        rows = rows.withColumn("u", F.when(F.col("side") == 1, vertex(1, "x")).otherwise(vertex(0, "x"))).join(parts, "u").drop("u")
         keys = ["root"]
-    chosen = pairs.groupBy(*keys).applyInPandas(_greedy, "scope string, b_id string, a_id string")
-    b, a = _side(before, "b_"), _side(after, "a_")
-    return chosen.join(b, ["scope", "b_id"]).join(a, ["scope", "a_id"]).select(*b.columns, *(c for c in a.columns if c != "scope"))
+    chosen = rows.groupBy(*keys).applyInPandas(_greedy, f"kind string, b_id {id_type}, a_id {id_type}")
+    b, a = _side(before, "b_").withColumn("kind", F.concat(F.length("scope").cast("string"), F.lit(":"), "scope", "b_entity_type")), _side(after, "a_").withColumn("kind", F.concat(F.length("scope").cast("string"), F.lit(":"), "scope", "a_entity_type")).drop("scope")
+    return chosen.join(b, ["kind", "b_id"]).join(a, ["kind", "a_id"]).select(*(c for c in b.columns if c != "kind"), *(c for c in a.columns if c != "kind"))
 
 
 def classify(pairs: DataFrame) -> DataFrame:
