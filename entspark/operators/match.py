@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, parts, spread
 
 SIMILARITY = 0.8
 #: Candidates up to this number are chosen from in one group; more in the connected parts of their graph, with the same result.
@@ -370,19 +370,29 @@ def match_entities(before: DataFrame, after: DataFrame, similarity: float | None
 def with_parent_names(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """``changes`` with ``parent_name``: the names of all ancestors from the outermost on, joined by ``::``; the after snapshot's first, cycles cut.
 
-    Each step goes up one level from all changes at once, until none has a parent.
+    Each step goes up one level from all different parents at once, until none
+    has a parent.  A walk keeps no list of where it was: it ends where it comes
+    back to a place marked at the last power of two of steps, and of a place
+    met twice the first visit counts.  Joins are by shuffles: nothing that grows
+    with the changes is broadcast.
     """
     changes = cut(changes)
     both = after.select("scope", "id", "name", "parent_id", F.lit(0).alias("p")).unionByName(before.select("scope", "id", "name", "parent_id", F.lit(1).alias("p")))
-    known = cut(both.groupBy("scope", "id").agg(F.min_by(F.struct("name", "parent_id"), "p").alias("e")).select("scope", "id", "e.name", "e.parent_id"))
-    walk = changes.select("scope", F.col("id").alias("change_id"), F.col("parent_id").alias("at")).filter("at IS NOT NULL").withColumn("depth", F.lit(0)).withColumn("seen", F.array("at"))
-    found = None
+    n = parts(before, after)
+    known = cut(spread(both, n, "scope", "id").groupBy("scope", "id").agg(F.min_by(F.struct("name", "parent_id"), "p").alias("e")).select("scope", "id", "e.name", "e.parent_id"))
+    known = known.withColumnRenamed("id", "at").hint("merge")
+    walk = changes.filter("parent_id IS NOT NULL").select("scope", F.col("parent_id").alias("start")).distinct().withColumns({"at": F.col("start"), "mark": F.lit(None).cast("string")})
+    found, depth = None, 0
     while True:
-        here = cut(walk.join(known.select("scope", F.col("id").alias("at"), "name", "parent_id"), ["scope", "at"]))
-        step = here.select("scope", "change_id", "depth", "name")
+        here = cut(spread(walk, n, "scope", "at").join(spread(known, n, "scope", "at"), ["scope", "at"]))
+        step = here.select("scope", "start", "at", F.lit(depth).alias("depth"), "name")
         found = step if found is None else found.unionByName(step)
-        walk = here.filter("parent_id IS NOT NULL AND NOT array_contains(seen, parent_id)").select("scope", "change_id", F.col("parent_id").alias("at"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", "parent_id").alias("seen"))
-        if here.filter("parent_id IS NOT NULL").isEmpty() or walk.isEmpty():
+        up = here.filter("parent_id IS NOT NULL AND NOT (parent_id <=> mark)")
+        if up.isEmpty():
             break
-    names = found.filter("name <> ''").groupBy("scope", "change_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "name")), asc=False), lambda s: s["name"]), "::").alias("parent_name"))
-    return changes.join(names.withColumnRenamed("change_id", "id"), ["scope", "id"], "left")
+        depth += 1
+        mark = F.col("at") if depth & (depth - 1) == 0 else F.col("mark")
+        walk = up.select("scope", "start", F.col("parent_id").alias("at"), mark.alias("mark"))
+    first = found.repartition(max(n, parts(changes)), "scope", "start").groupBy("scope", "start", "at").agg(F.min(F.struct("depth", "name")).alias("s"))
+    names = first.filter("s.name <> ''").groupBy("scope", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s"), asc=False), lambda s: s["name"]), "::").alias("parent_name"))
+    return changes.join(names.withColumnRenamed("start", "parent_id").hint("merge"), ["scope", "parent_id"], "left").select(*changes.columns, "parent_name")

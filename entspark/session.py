@@ -34,3 +34,24 @@ def cut(frame: DataFrame) -> DataFrame:
         return frame  # nothing has been done to it since it was written
     shared_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+#: Bytes, as the optimizer estimates them, of what one task of a wide step takes.
+TASK_BYTES = 4 << 20
+_MOST_PARTS = 10_000
+
+
+def parts(*frames: DataFrame) -> int:
+    """Into how many parts frames go: as many as their size asks for, the session's number at least, so that a task's share doesn't grow with the input.
+
+    The estimate follows from the files' sizes and needs no pass; where there is
+    none (rows of unknown origin, products of joins) it's the session's number.
+    """
+    least = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
+    return max(least, min(-(-size // TASK_BYTES), _MOST_PARTS)) if size < _MOST_PARTS * TASK_BYTES * 8 else least
+
+
+def spread(frame: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``frame`` by hash of ``keys`` in ``n`` parts; as it is where ``n`` is the session's number, as any join or sum then does so itself."""
+    return frame if n <= int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame.repartition(n, *keys)

@@ -77,3 +77,23 @@ def test_copies_are_one_class(spark):
     rows = [("k", k % 2, f"e{k}", "a b c d e") for k in range(400)] + [("k", 0, "x", "a b c d e f"), ("other", 1, "y", "a b c d e")]
     members, pairs = M.similar_classes(spark.createDataFrame(rows, "kind string, side int, id string, content string"), 0.8)
     assert members.count() == 402 and sorted((r.inter, r.size_union) for r in pairs.collect()) == [(5, 5), (5, 6)]
+
+
+def test_parent_names_without_broadcasts(spark):
+    """Chains, cycles of all lengths and ways into them; what walks carry doesn't grow, and no join sends it to the driver."""
+    parents = {"a": None, "b": "a", "c": "b", "s": "s", "u": "v", "v": "u", "p": "q", "q": "r", "r": "p", "x": "p", "y": "x", "z": "y", "d": "none"} | {f"l{k}": f"l{k - 1}" if k else None for k in range(12)}
+    nodes = spark.createDataFrame([("f", i, i.upper() if i != "b" else "", p) for i, p in parents.items()], "scope string, id string, name string, parent_id string")
+    changes = spark.createDataFrame([("f", f"c{k}", p) for k, p in enumerate([*parents, "c", "gone", None])], "scope string, id string, parent_id string")
+
+    def want(at):
+        names, seen = [], set()
+        while at in parents and at not in seen:
+            seen.add(at)
+            names.append(at.upper() if at != "b" else "")
+            at = parents[at]
+        return "::".join(n for n in reversed(names) if n) or None
+
+    found = M.with_parent_names(changes, nodes, nodes.limit(0))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == changes.count() and all(r.parent_name == want(r.parent_id) for r in rows)
