@@ -11,53 +11,100 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, parts, spread
 
 #: Entities that an unbounded walk returns from one start.
 IMPACT_CAP = 10_000
 BUDGET = 8_000
+#: Rows of a frontier that are broadcast to the edges; bits of a word that are used for starts.
+BROADCAST_ROWS, BITS = 10_000, 63
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (src, dst): that of the earliest (pass, seq)."""
+    edges = spread(edges, parts(edges), "src", "dst")
     first = F.row_number().over(W.partitionBy("src", "dst").orderBy("pass", "seq", "ref_type"))
     return edges.withColumn("_rn", first).filter("_rn = 1").select("src", "dst", "ref_type")
 
 
 def dependents(edges: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, entity columns) of what depends on each target directly."""
-    return targets.join(edges.select(F.col("dst").alias("target"), F.col("src").alias("id")), "target").distinct().join(entities, "id")
+    n = parts(edges)
+    met = spread(targets, n, "target").join(spread(edges.select(F.col("dst").alias("target"), F.col("src").alias("id")), n, "target"), "target").distinct()
+    return spread(met, n, "id").join(spread(entities, n, "id"), "id")
 
 
 def dependencies(edges: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, entity columns) of what each target depends on directly."""
-    return targets.join(edges.select(F.col("src").alias("target"), F.col("dst").alias("id")), "target").distinct().join(entities, "id")
+    n = parts(edges)
+    met = spread(targets, n, "target").join(spread(edges.select(F.col("src").alias("target"), F.col("dst").alias("id")), n, "target"), "target").distinct()
+    return spread(met, n, "id").join(spread(entities, n, "id"), "id")
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int = 0) -> DataFrame:
-    """(start, id, depth) of all that depends on each ``start`` over at most ``depth`` edges (0: any number); never the start itself.
+def _numbered(starts: DataFrame) -> DataFrame:
+    """(start, block, bit) of all different starts: BITS of them share a block."""
+    starts = cut(starts.filter("start IS NOT NULL").select("start").distinct())
+    bucket = F.pmod(F.xxhash64("start"), F.lit(max(1, starts.count() // BITS)))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("start")) - 1
+    return cut(starts.withColumn("bucket", bucket).withColumn("place", place).select("start", (F.col("bucket") * (1 << 24) + F.floor(F.col("place") / BITS)).alias("block"), (F.col("place") % BITS).alias("bit")))
+
+
+def _reach_sets(edges: DataFrame, numbered: DataFrame, depth: int) -> DataFrame:
+    """(block, id, depth, bits): which starts of a block reach the id first at that depth.
 
-    Breadth first from all starts at once.  Each hop is written to the shared
-    folder, so plans stay short and cycles end where nothing new is found.
+    Breadth first from all starts at once, starts as bits of a word, so a hop
+    has a row for an id and not one for each start.  The edges are written once,
+    in as many parts as their size asks for; a small frontier is broadcast to
+    them.  Ids without dependents take part in no further hop.  Each hop is
+    written to the shared folder, so plans stay short and cycles end where
+    nothing new is found.
     """
-    back = cut(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct())  # every hop reads it
-    frontier = starts.select("start", F.col("start").alias("id")).distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
+    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).filter("id IS NOT NULL AND next IS NOT NULL")
+    n = parts(back)
+    back = cut(spread(back, n, "id"))  # every hop reads it
+    inner = cut(back.select("id").distinct())
+    seen = numbered.select("block", F.col("start").alias("id"), F.lit(0).alias("depth"), F.expr("shiftleft(1L, bit)").alias("bits"))
+    frontier = cut(spread(seen, n, "id").join(spread(inner, n, "id"), "id", "left_semi"))
     hop = 0
     while not depth or hop < depth:
-        hop += 1
-        new = frontier.join(back, "id").select("start", F.col("next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
-        new = cut(new.withColumn("depth", F.lit(hop)))
-        if new.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
+        hop += 1
+        few = rows <= BROADCAST_ROWS
+        met = (spread(back, n, "id") if not few else back).join(F.broadcast(frontier) if few else spread(frontier, n, "id"), "id")
+        both = met.select("block", F.col("next").alias("id"), F.col("bits").alias("got"), F.lit(0).cast("long").alias("had")).unionByName(seen.select("block", "id", F.lit(0).cast("long").alias("got"), F.col("bits").alias("had")))
+        new = spread(both, n, "id").groupBy("block", "id").agg(F.bit_or("got").alias("got"), F.bit_or("had").alias("had"))
+        new = cut(new.select("block", "id", F.lit(hop).alias("depth"), F.expr("got & ~had").alias("bits")).filter("bits <> 0"))
         seen = seen.unionByName(new)
-        frontier = new.select("start", "id")
+        frontier = cut(spread(new, n, "id").join(spread(inner, n, "id"), "id", "left_semi"))
     return seen.filter("depth > 0")
 
 
+def _expanded(sets: DataFrame, numbered: DataFrame) -> DataFrame:
+    """A row for each start in place of (block, bits)."""
+    few = numbered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.getbit("bits", k) == 1)
+    each = sets.withColumn("bit", F.explode(bits)).drop("bits")
+    return each.join(F.broadcast(numbered) if few else numbered, ["block", "bit"]).drop("block", "bit")
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int = 0) -> DataFrame:
+    """(start, id, depth) of all that depends on each ``start`` over at most ``depth`` edges (0: any number); never the start itself."""
+    numbered = _numbered(starts)
+    return _expanded(_reach_sets(edges, numbered, depth), numbered).select("start", "id", "depth")
+
+
+def _reached(edges: DataFrame, entities: DataFrame, numbered: DataFrame, depth: int = 0) -> DataFrame:
+    """The sets of reached ids with the entities' columns."""
+    n = parts(edges, entities)
+    return spread(_reach_sets(edges, numbered, depth), n, "id").join(spread(entities, n, "id"), "id")
+
+
 def impact(edges: DataFrame, entities: DataFrame, starts: DataFrame, depth: int = 0, cap: int | None = None) -> DataFrame:
     """Entities that a change of each start reaches, with their depth; at most ``cap`` of them by (depth, id)."""
-    found = reach(edges, starts, depth).join(entities, "id")
+    numbered = _numbered(starts)
+    found = _expanded(_reached(edges, entities, numbered, depth), numbered)
     if cap is None:
         return found
     rank = F.row_number().over(W.partitionBy("start").orderBy("depth", "id"))
@@ -72,7 +119,8 @@ def impact_count(edges: DataFrame, starts: DataFrame, most: int = IMPACT_CAP) ->
 
 def impacted_tests(edges: DataFrame, entities: DataFrame, starts: DataFrame) -> DataFrame:
     """Reached entities that are tests."""
-    return impact(edges, entities, starts).filter(T.is_test_entity("name", "file_path", "content"))
+    numbered = _numbered(starts)
+    return _expanded(_reached(edges, entities, numbered).filter(T.is_test_entity("name", "file_path", "content")), numbered)
 
 
 def _fold(items: Column, budget: int) -> Column:
@@ -94,9 +142,16 @@ def context(edges: DataFrame, entities: DataFrame, targets: DataFrame, budget: i
     starts = targets.select(F.col("target").alias("start"))
     entities = cut(entities)
     sizes = entities.select("id", T.estimate_tokens("content").alias("full"), T.estimate_tokens(T.first_line("content")).alias("line"))
-    all_ids = starts.select("start", F.col("start").alias("id")).withColumn("depth", F.lit(0)).unionByName(reach(edges, starts)).join(sizes, "id")
+    numbered = _numbered(starts)
+    own = numbered.select("block", F.col("start").alias("id"), F.lit(0).alias("depth"), F.expr("shiftleft(1L, bit)").alias("bits")).join(sizes, "id")
     role = F.least(F.col("depth"), F.lit(2))
-    sized = all_ids.select("start", role.alias("role"), "depth", "id", F.when(role < 2, F.col("full")).otherwise(F.col("line")).alias("tokens"))
+    sized = own.unionByName(_reached(edges, sizes, numbered)).withColumn("tokens", F.when(role < 2, F.col("full")).otherwise(F.col("line")))
+    # of ids that the same starts reach at one depth the first few of a size are enough for each of these starts; parts by hash first, so no task sorts them all
+    n = parts(edges)
+    first = F.row_number().over(W.partitionBy("block", "bits", "depth", "tokens", "part").orderBy("id"))
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n))).select("block", "bits", "depth", "tokens", "part", "id")
+    sized = spread(sized, n, "part").withColumn("place", first).filter(F.col("place") * F.col("tokens") <= budget)
+    sized = _expanded(sized.drop("place", "part"), numbered).select("start", role.alias("role"), "depth", "id", "tokens")
     # what is left of the budget never grows, so of the items of one size a first few are taken: no more than fit in all of it
     place = F.row_number().over(W.partitionBy("start", "tokens").orderBy("role", "depth", "id"))
     sized = sized.withColumn("place", place).filter(F.col("place") * F.col("tokens") <= budget)

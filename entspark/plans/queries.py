@@ -20,7 +20,7 @@ from ..operators import search as SE
 from ..operators import store as ST
 from ..operators import suppress as SU
 from ..operators.chunks import chunk_text
-from ..session import cut
+from ..session import cut, parts, spread
 from . import snapshots as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +257,8 @@ UNION ALL SELECT 'property', count(*) FROM kids WHERE gone = 1
 """)
 def parent_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose lines changed aren't reported themselves."""
-    orders, lines = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+    orders, lines = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    orders, lines = spread(orders, parts(orders), "o_orderkey"), spread(lines, parts(lines), "l_orderkey", "l_partkey")
     oid = F.concat(F.lit("o::"), F.col("o_orderkey").cast("string"))
     none = F.lit(None).cast("string")
     parents = orders.filter("o_orderkey IS NOT NULL").groupBy("o_orderkey").agg(F.max((F.col("o_orderstatus") == "P").cast("int")).alias("gone")).select(oid.alias("id"), F.lit("object").alias("entity_type"), none.alias("parent_id"), "gone")
@@ -345,6 +346,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sql(spark, S.LINKS, **S.views(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem"))
 
 
+def repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges with repeats, for steps that drop them themselves."""
+    return S.sql(spark, S.REPEATED_LINKS, **S.views(spark, sf_dir, "nation", "customer", "supplier", "orders", "lineitem"))
+
+
 def _regions(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _read(spark, sf_dir, "region").select(F.concat(F.lit("region::"), F.col("r_regionkey").cast("string")).alias(name))
 
@@ -358,45 +364,45 @@ reach AS (SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2)
 
 @register("fk_edges", f"SELECT ref_type, split_part(src, '::', 1) AS src_type, split_part(dst, '::', 1) AS dst_type, count(*) AS n FROM ({S.LINKS}) GROUP BY 1, 2, 3")
 def fk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.distinct_edges(edges(spark, sf_dir).withColumn("pass", F.lit(0)).withColumn("seq", F.lit(0)))
+    e = G.distinct_edges(repeated_edges(spark, sf_dir).withColumn("pass", F.lit(0)).withColumn("seq", F.lit(0)))
     return e.groupBy("ref_type", F.substring_index("src", "::", 1).alias("src_type"), F.substring_index("dst", "::", 1).alias("dst_type")).agg(F.count("*").alias("n"))
 
 
 @register("direct_dependents", f"WITH e AS ({S.LINKS}) SELECT dst AS target, count(DISTINCT src) AS n FROM e GROUP BY 1")
 def direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return G.dependents(edges(spark, sf_dir), n, n.select(F.col("id").alias("target"))).groupBy("target").agg(F.count("*").alias("n"))
+    return G.dependents(repeated_edges(spark, sf_dir), n, n.select(F.col("id").alias("target"))).groupBy("target").agg(F.count("*").alias("n"))
 
 
 @register("direct_dependencies", f"WITH e AS ({S.LINKS}), n AS ({S.NODES}) SELECT src AS target, n.entity_type AS entity_type, count(DISTINCT dst) AS n FROM e JOIN n ON n.id = e.dst GROUP BY 1, 2")
 def direct_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return G.dependencies(edges(spark, sf_dir), n, edges(spark, sf_dir).select(F.col("src").alias("target")).distinct()).groupBy("target", "entity_type").agg(F.count("*").alias("n"))
+    return G.dependencies(repeated_edges(spark, sf_dir), n, repeated_edges(spark, sf_dir).select(F.col("src").alias("target")).distinct()).groupBy("target", "entity_type").agg(F.count("*").alias("n"))
 
 
 @register("impact_depth2", f"{_GRAPH} SELECT start, id, depth FROM reach WHERE depth BETWEEN 1 AND 2")
 def impact_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.impact(edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start"), 2).select("start", "id", "depth")
+    return G.impact(repeated_edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start"), 2).select("start", "id", "depth")
 
 
 @register("impact_all", f"{_GRAPH} SELECT start, reach.id AS id, depth, name FROM reach JOIN n ON n.id = reach.id WHERE depth > 0")
 def impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.impact(edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start")).select("start", "id", "depth", "name")
+    return G.impact(repeated_edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start")).select("start", "id", "depth", "name")
 
 
 @register("impact_count", f"{_GRAPH} SELECT start, least(count(*) FILTER (depth > 0), 10000) AS n FROM reach GROUP BY 1")
 def impact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.impact_count(edges(spark, sf_dir), _regions(spark, sf_dir, "start"))
+    return G.impact_count(repeated_edges(spark, sf_dir), _regions(spark, sf_dir, "start"))
 
 
 @register("impact_by_depth", f"{_GRAPH} SELECT start, depth, count(*) AS n FROM reach WHERE depth > 0 GROUP BY 1, 2")
 def impact_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.reach(edges(spark, sf_dir), _regions(spark, sf_dir, "start")).groupBy("start", "depth").agg(F.count("*").alias("n"))
+    return G.reach(repeated_edges(spark, sf_dir), _regions(spark, sf_dir, "start")).groupBy("start", "depth").agg(F.count("*").alias("n"))
 
 
 @register("impact_tests", f"{_GRAPH} SELECT start, reach.id AS id FROM reach JOIN n ON n.id = reach.id WHERE depth > 0 AND contains(file_path, '/tests/') AND contains(content, '@test')")
 def impact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.impacted_tests(edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start")).select("start", "id")
+    return G.impacted_tests(repeated_edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "start")).select("start", "id")
 
 
 _SIZED = f"""{_GRAPH},
@@ -413,7 +419,7 @@ fold(start, rn, used, kept) AS (
 
 @register("context_budget", f"{_SIZED} SELECT start AS target, max(used) AS tokens, max(kept) AS n FROM fold GROUP BY 1")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.context(edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "target"))
+    found = G.context(repeated_edges(spark, sf_dir), nodes(spark, sf_dir), _regions(spark, sf_dir, "target"))
     return found.groupBy("target").agg(F.sum("estimated_tokens").alias("tokens"), F.count("*").alias("n"))
 
 

@@ -46,6 +46,9 @@ SELECT DISTINCT src, dst, ref_type FROM (
 ) l WHERE src IS NOT NULL AND dst IS NOT NULL
 """
 
+#: The same with repeats.
+REPEATED_LINKS = LINKS.replace("SELECT DISTINCT", "SELECT", 1)
+
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
